@@ -83,12 +83,15 @@ def id_ranges(df: DataFrame, col: str, most: int, bins: int = 1024) -> list[tupl
 
 
 def range_of(col: str, ranges: list[tuple[int, int, int]]) -> Column:
-    """The number of the range that holds the value: a binary search over the bounds, as nested conditions."""
-
-    def find(lo: int, hi: int) -> str:
-        if hi - lo <= 1:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return f"if({col} < {ranges[mid][0]}L, {find(lo, mid)}, {find(mid, hi)})"
-
-    return F.expr(find(0, max(1, len(ranges))))
+    """The number of the range that holds the value, found by halving; of the first range for null and before it."""
+    lows = F.array(*[F.lit(low).cast("long") for low, _, _ in ranges])  # folded to one literal
+    steps = F.sequence(F.lit(0), F.lit(max(1, len(ranges)).bit_length()))
+    start = F.struct(F.lit(0).alias("lo"), F.lit(max(1, len(ranges))).alias("hi"))
+
+    def halve(x: Column, _: Column) -> Column:
+        mid = F.floor((x.lo + x.hi) / 2).cast("int")
+        below = (x.hi - x.lo > 1) & (F.get(lows, mid) > F.col(col))
+        above = (x.hi - x.lo > 1) & (F.get(lows, mid) <= F.col(col))
+        return F.struct(F.when(above, mid).otherwise(x.lo).alias("lo"), F.when(below, mid).otherwise(x.hi).alias("hi"))
+
+    return F.aggregate(steps, start, halve, lambda x: x.lo)
