@@ -18,7 +18,7 @@ from .store import Atomic, opened
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SPACE_ID = uuid.uuid5(uuid.NAMESPACE_URL, "urn:pages")
-MANIFEST = "bucket int, file string, records long, bytes long, sha1 string"
+MANIFEST = "bucket long, file string, records long, bytes long, sha1 string"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, position long"
 SALTS = 16
 
