@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.shipping import ship
+
 from .kernels import SPACE, U, find_words, pieces
 from .near_dup import shingle_sets
 
@@ -126,6 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, seed: int = 0)
     A document with several labels has the lowest grade of them; labels without an id, a quality or a toxicity, and
     labels of documents that are not there, are left out. Without any label every score is 0.
     """
+    ship(docs.sparkSession)
     rated = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min(grade_of(F.col("quality"), F.col("toxic"))).alias("grade"))
     chosen = rated.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)  # bounded, so it may be sent to all tasks
 
@@ -152,6 +155,7 @@ def rate(docs: DataFrame, model: Ordinal, least: float = 0.5) -> DataFrame:
     the model, of a fixed size, is sent to all tasks. Defined results: a null text is an empty one; rows are rated one
     by one, null ids too; other columns are not read.
     """
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.limits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,6 +178,7 @@ def tail_rows(model: Ordinal, texts: pa.Array) -> np.ndarray:
 def select_good(docs: DataFrame, model: Ordinal, least: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, that `rate` keeps."""
     sent = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.limits))
+    ship(docs.sparkSession)
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

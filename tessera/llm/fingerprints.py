@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.shipping import ship
+
 from .frames import by_bucket, id_ranges, parts, range_of
 from .kernels import BASE, U, mix, pieces
 
@@ -165,6 +167,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.record_batch([batch.column(0), batch.column(1), written(sketches(batch.column(2)))], names=["doc_id", "n_chars", "fingerprint"])
 
+    ship(docs.sparkSession)
     return docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long"), "text").mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
 
@@ -183,6 +186,7 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     empty table gives an empty one. Other columns are not read.
     """
     spark = docs.sparkSession
+    ship(spark)
     total = docs.count()
     bounds = id_ranges(docs.select("doc_id"), "doc_id", max(64, total // (4 * parts(spark)) + 1))
     rows = docs.select("doc_id", "text")

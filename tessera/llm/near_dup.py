@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.shipping import ship
+
 from .components import components
 from .frames import by_bucket, parts, settle
 from .kernels import BASE, LOWER, U, find_words, groups_of, mix, name_words, packed, pieces, windows
@@ -271,7 +273,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     a null id has a null class and is kept; an empty table gives an empty one. Other columns are not read.
     """
     spark = docs.sparkSession
-    buckets = 4 * parts(spark)
+    ship(spark)
+    buckets = parts(spark)
     texts = docs.select("doc_id", "text")
     sent = texts.mapInArrow(lambda it: sketched(it, width, buckets), "bucket int, kind int, key binary, doc binary, more binary, made binary")
     found = settle(by_bucket(sent).sortWithinPartitions("bucket").mapInArrow(linked, "kind int, key long, a long, c long"))

@@ -13,6 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.shipping import ship
+
 from .frames import settle
 
 ITEM = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
@@ -62,6 +64,7 @@ def token_pieces(docs: DataFrame, path: str, end: int = 0, most: int = 2048) ->
     Only a document of more than `most` ids is cut, into full pieces behind a first one that may be shorter. A null
     text is an empty one: its piece is `end` alone. Nothing is shuffled.
     """
+    ship(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(lambda it: tokenized(it, path, end, most), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
@@ -137,6 +140,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, full: float = 0.998, handed: i
 
     Defined results: equal rows are different pieces; an empty table gives an empty one.
     """
+    ship(pieces.sparkSession)
     state = settle(pieces.mapInArrow(lambda it: first_round(it, capacity, full, handed), BIN))
     tasks = (state.agg(F.max("home")).first()[0] or 0) + 1
     done = [state.where("done").withColumn("round", F.lit(0))]

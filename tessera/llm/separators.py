@@ -10,6 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.shipping import ship
+
 from .frames import parts, settle
 from .packing import encoder
 from .store import Atomic, opened
@@ -29,6 +31,7 @@ def flat_file(batches: Iterator[pa.RecordBatch], folder: str, path: str, end: in
 
 def write_flat(docs: DataFrame, folder: str, path: str, end: int, kind: str = "<u2") -> DataFrame:
     """Token ids of all texts, each followed by `end`, in flat files, one for each task: file, n_tokens. Null is empty."""
+    ship(docs.sparkSession)
     return settle(docs.select("text").mapInArrow(lambda it: flat_file(it, folder, path, end, kind), "file string, n_tokens long"))
 
 
@@ -57,6 +60,7 @@ def count_tokens(files: DataFrame, folder: str, end: int, kind: str = "<u2", blo
     document that has not ended; an empty file has none; a file named twice is read once.
     """
     spark = files.sparkSession
+    ship(spark)
     cut = files.dropDuplicates(["file"]).where("n_tokens > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_tokens") - 1) / block))))
     start = F.col("block") * block
     blocks = cut.select("file", "block", start.alias("start"), F.least(F.lit(block).cast("long"), F.col("n_tokens") - start).alias("length"))

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.shipping import ship
+
 from .frames import by_bucket, parts
 from .kernels import U, find_words, groups_of, mix, name_words, packed, pieces, ranges, rolled
 
@@ -28,32 +30,50 @@ def seed_width(length: int) -> int:
 
 
 class Text:
-    """Names of the words of some texts, and of the anchor of each window of `length` words.
+    """Names of the words of some texts, those of `use` only, and of the anchor of each window of `length` words.
 
     A window's anchor is the least name among the runs of seed_width(length) words that it holds, so equal windows have
     equal anchors wherever they stand: winnowing.
     """
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, length: int):
+    def __init__(self, data: np.ndarray, at: np.ndarray, length: int, use: np.ndarray | None = None):
         self.data, self.length = data, length
         self.starts, self.ends, self.first = find_words(data, at)
         self.n_words = np.diff(self.first)
-        self.names = name_words(data, self.starts, self.ends)
-        self.counts = np.maximum(self.n_words - length + 1, 0)
-        self.at = ranges(self.first[:-1], self.counts)
-        seeds = mix(rolled(self.names, seed_width(length)))
-        least = sliding(seeds, length - seed_width(length) + 1, np.minimum) if len(self.at) else np.zeros(0, U)
-        self.anchors = least[self.at]
+        use = np.ones(len(self.n_words), bool) if use is None else use
+        self.used = np.flatnonzero(np.repeat(use, self.n_words))  # words
+        lengths = np.where(use, self.n_words, 0)
+        first = np.cumsum(lengths) - lengths
+        self.names = self.named(1)
+        self.counts = np.maximum(lengths - length + 1, 0)  # windows of each text
+        self.at = ranges(first, self.counts)  # the first word of each, among the used
+
+    def named(self, seed: int) -> np.ndarray:
+        return name_words(self.data, self.starts[self.used], self.ends[self.used], seed)
+
+    def anchors(self) -> np.ndarray:
+        if not len(self.at):
+            return np.zeros(0, U)
+        seeds = mix(rolled(self.names, seed_width(self.length)))
+        return sliding(seeds, self.length - seed_width(self.length) + 1, np.minimum)[self.at]
 
     def documents(self, ids: np.ndarray) -> np.ndarray:
         """The document of every window."""
         return np.repeat(ids, self.counts)
 
-    def window_names(self, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """96 bits for each of the windows: two names from different seeds."""
-        other = name_words(self.data, self.starts, self.ends, seed=0xC0FFEE)
-        one = mix(rolled(self.names, self.length))[self.at[where]]
-        return one, (mix(rolled(other, self.length))[self.at[where]] >> U(32)).astype(np.uint32)
+    def windows(self, where: np.ndarray | slice = slice(None)) -> np.ndarray:
+        return mix(rolled(self.names, self.length))[self.at[where]] if len(self.at) else np.zeros(0, U)
+
+    def more(self, where: np.ndarray) -> np.ndarray:
+        """32 bits more of the windows' names, from another seed."""
+        return (mix(rolled(self.named(0xC0FFEE), self.length))[self.at[where]] >> U(32)).astype(np.uint32)
+
+
+def among(keys: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which keys are in the ordered array."""
+    if not len(ordered):
+        return np.zeros(len(keys), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, keys), len(ordered) - 1)] == keys
 
 
 def owned(names: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -81,8 +101,8 @@ ASKED, SETTLED = 0, 1
 
 
 def doc_bucket(docs: np.ndarray, n: int) -> np.ndarray:
-    """The bucket of a document; bucket_of is the same in SQL."""
-    return docs % n
+    """The bucket of a document among twice as many as there are of names."""
+    return docs % (2 * n)
 
 
 def known_rows(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -106,17 +126,15 @@ def seeded(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iter
         got = []
         for lo, hi, data, at in pieces(batch.column(1)):
             text = Text(data, at, length)
-            use = text.documents(known[lo:hi])
-            new = np.ones(len(text.anchors), bool)  # neighbours mostly have one anchor
-            new[1:] = text.anchors[1:] != text.anchors[:-1]
-            use &= new
-            got.append((text.anchors[use], text.documents(ids[lo:hi])[use]))
+            anchors, use = text.anchors(), text.documents(known[lo:hi])
+            use[1:] &= (anchors[1:] != anchors[:-1]) | (np.diff(text.documents(np.arange(hi - lo))) != 0)  # neighbours mostly have one
+            got.append((anchors[use], text.documents(ids[lo:hi])[use]))
         if not got:
             continue
         names, docs = unique_pairs(np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got]))
         shared, lead = split_shared(names, docs)
         rows = [(b, ASKED, n, d, s) for b, (n, d, s) in packed(names[lead], bucket_of_name(names[lead], buckets), buckets, docs[lead], shared[lead])]
-        rows += [(b, SETTLED, n, d, b"") for b, (n, d) in packed(names[shared & ~lead], doc_bucket(docs[shared & ~lead], buckets), buckets, docs[shared & ~lead])]
+        rows += [(b, SETTLED, n, d, b"") for b, (n, d) in packed(names[shared & ~lead], doc_bucket(docs[shared & ~lead], buckets), 2 * buckets, docs[shared & ~lead])]
         yield row_batch(rows)
 
 
@@ -145,7 +163,7 @@ def shared_seeds(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
             size = np.diff(np.append(first, len(names)))
             several = (size > 1) | np.logical_or.reduceat(flag, first)
             use = np.repeat(several, size)
-            rows += [(b, SETTLED, n, d, b"") for b, (n, d) in packed(names[use], doc_bucket(docs[use], buckets), buckets, docs[use])]
+            rows += [(b, SETTLED, n, d, b"") for b, (n, d) in packed(names[use], doc_bucket(docs[use], buckets), 2 * buckets, docs[use])]
         yield row_batch(rows)
 
 
@@ -158,16 +176,17 @@ def extended(texts: pa.Table, seeds: pa.Table, length: int, buckets: int) -> pa.
     the others the smallest document is sent."""
     out = []
     if seeds.num_rows and texts.num_rows:
-        asked = np.unique(owned(joined(seeds, "names", U), joined(seeds, "docs", np.int64)))
+        wanted = joined(seeds, "docs", np.int64)
+        asked, some = np.unique(owned(joined(seeds, "names", U), wanted)), np.unique(wanted)
         ids_column = texts.column("doc_id").combine_chunks()
         known, ids = known_rows(ids_column)
         got = []
         for lo, hi, data, at in pieces(texts.column("text")):
-            text = Text(data, at, length)
+            text = Text(data, at, length, known[lo:hi] & among(ids[lo:hi], some))
             docs = text.documents(ids[lo:hi])
-            where = np.flatnonzero(np.isin(owned(text.anchors, docs), asked) & text.documents(known[lo:hi]))
+            where = np.flatnonzero(among(owned(text.anchors(), docs), asked))
             if len(where):
-                got.append((*text.window_names(where), docs[where]))
+                got.append((text.windows(where), text.more(where), docs[where]))
         if got:
             one, two, docs = (np.concatenate(x) for x in zip(*got, strict=True))
             order = np.lexsort((docs, two, one))
@@ -179,7 +198,7 @@ def extended(texts: pa.Table, seeds: pa.Table, length: int, buckets: int) -> pa.
             least = docs[np.flatnonzero(new)][np.cumsum(new) - 1]
             late = fresh & (docs != least)
             out += [(b, ASKED, n, d, m) for b, (n, d, m) in packed(one[new], bucket_of_name(one[new], buckets), buckets, docs[new], two[new])]
-            out += [(b, SETTLED, n, d, b"") for b, (n, d) in packed(one[late], doc_bucket(docs[late], buckets), buckets, docs[late])]
+            out += [(b, SETTLED, n, d, b"") for b, (n, d) in packed(one[late], doc_bucket(docs[late], buckets), 2 * buckets, docs[late])]
     return pa.Table.from_batches([row_batch(out)])
 
 
@@ -201,45 +220,63 @@ def repeats(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
             new = np.ones(len(one), bool)
             new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
             late = docs != docs[np.flatnonzero(new)][np.cumsum(new) - 1]
-            rows += [(b, SETTLED, n, d, b"") for b, (n, d) in packed(one[late], doc_bucket(docs[late], buckets), buckets, docs[late])]
+            rows += [(b, SETTLED, n, d, b"") for b, (n, d) in packed(one[late], doc_bucket(docs[late], buckets), 2 * buckets, docs[late])]
         yield row_batch(rows)
 
 
 def cut(texts: pa.Table, marks: pa.Table, length: int, layout: bool) -> pa.Table:
     """Every text without the words that marked windows cover."""
-    asked = np.unique(owned(joined(marks, "names", U), joined(marks, "docs", np.int64))) if marks.num_rows else np.zeros(0, U)
+    wanted = joined(marks, "docs", np.int64) if marks.num_rows else np.zeros(0, np.int64)
+    asked = np.unique(owned(joined(marks, "names", U), wanted)) if marks.num_rows else np.zeros(0, U)
+    some = np.unique(wanted)
     ids_column = texts.column("doc_id").combine_chunks()
     known, ids = known_rows(ids_column)
-    marked = np.isin(ids, np.unique(joined(marks, "docs", np.int64))) & known if marks.num_rows else np.zeros(len(ids), bool)
     n_words, n_removed, kept = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), []
     for lo, hi, data, at in pieces(texts.column("text")):
-        raw = data.tobytes()
-        bounds = at.tolist()
-        for i in range(hi - lo):
-            whole = raw[bounds[i] : bounds[i + 1]]
-            words = whole.split()
-            n_words[lo + i] = len(words)
-            if not marked[lo + i] or len(words) < length:
-                kept.append(whole if layout else b" ".join(words))
-                continue
-            part = Text(np.frombuffer(whole, np.uint8), np.array([0, len(whole)]), length)
-            one = mix(rolled(part.names, length))
-            hit = np.flatnonzero(np.isin(owned(one, np.full(len(one), ids[lo + i])), asked))
-            step = np.zeros(len(words) + 1, np.int64)
-            np.add.at(step, hit, 1)
-            np.add.at(step, hit + length, -1)
-            gone = np.cumsum(step)[:-1] > 0
-            n_removed[lo + i] = gone.sum()
-            if not layout:
-                kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]))
-            else:  # a removed word goes with the spaces behind it
-                upto = np.append(part.starts[1:], len(whole))
-                stays = [whole[: part.starts[0]], *[whole[a:b] for a, b, g in zip(part.starts.tolist(), upto.tolist(), gone.tolist(), strict=True) if not g]]
-                kept.append(b"".join(stays))
-    made = {"doc_id": ids_column, "n_words": pa.array(n_words), "n_removed": pa.array(n_removed), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())}
+        text = Text(data, at, length, known[lo:hi] & among(ids[lo:hi], some))
+        step = np.zeros(len(text.used) + 1, np.int64)
+        hit = text.at[among(owned(text.windows(), text.documents(ids[lo:hi])), asked)]
+        np.add.at(step, hit, 1)
+        np.add.at(step, hit + length, -1)
+        gone = np.zeros(len(text.starts), bool)
+        gone[text.used] = np.cumsum(step)[:-1] > 0
+        sums = np.concatenate([[0], np.cumsum(gone)])
+        n_words[lo:hi], n_removed[lo:hi] = text.n_words, sums[text.first[1:]] - sums[text.first[:-1]]
+        kept.append(without(data, at, text, gone) if layout else spaced(data, text, gone))
+    made = {"doc_id": ids_column, "n_words": pa.array(n_words), "n_removed": pa.array(n_removed), "kept_text": pa.chunked_array(kept, pa.string())}
     return pa.table(made | {c: texts.column(c) for c in texts.column_names[3:]})
 
 
+def strings(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes()))
+
+
+def without(data: np.ndarray, at: np.ndarray, text: Text, gone: np.ndarray) -> pa.Array:
+    """The texts as they are, but for the removed words, each with the spaces behind it."""
+    upto = np.append(text.starts[1:], len(data))
+    has = text.n_words > 0
+    upto[text.first[1:][has] - 1] = at[1:][has]
+    stays = np.ones(len(data), bool)
+    stays[ranges(text.starts[gone], (upto - text.starts)[gone])] = False
+    sums = np.concatenate([[0], np.cumsum(stays)])
+    return strings(data[stays], sums[at])
+
+
+def spaced(data: np.ndarray, text: Text, gone: np.ndarray) -> pa.Array:
+    """The words that stay, one space between two."""
+    stays = np.flatnonzero(~gone)
+    first = np.searchsorted(stays, text.first)
+    size = text.ends[stays] - text.starts[stays] + 1
+    last = first[1:][np.diff(first) > 0] - 1
+    size[last] -= 1
+    ends = np.cumsum(size)
+    out = np.append(data, np.uint8(32))[np.minimum(ranges(text.starts[stays], size), len(data))]
+    inner = np.ones(len(stays), bool)
+    inner[last] = False
+    out[ends[inner] - 1] = 32
+    return strings(out, np.concatenate([[0], ends])[first])
+
+
 def remove_repeats(docs: DataFrame, length: int = 13, layout: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
     """Texts without repeated passages: doc_id, n_words, n_removed, kept_text, then the carried columns as carried_0, ...
 
@@ -255,8 +292,9 @@ def remove_repeats(docs: DataFrame, length: int = 13, layout: bool = False, carr
     neither smaller nor larger than another and keeps its words; rows with one id don't take from each other; an empty
     table gives an empty one. Other columns are not read.
     """
-    buckets = 8 * parts(docs.sparkSession)
-    bucket = F.coalesce(F.pmod(F.col("doc_id"), F.lit(buckets)), F.lit(0)).cast("int").alias("bucket")
+    ship(docs.sparkSession)
+    buckets = parts(docs.sparkSession)  # of names; of documents there are twice as many
+    bucket = F.coalesce(F.pmod(F.col("doc_id"), F.lit(2 * buckets)), F.lit(0)).cast("int").alias("bucket")
     texts = docs.select(bucket, "doc_id", F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carried)])
     kept = "doc_id long, n_words long, n_removed long, kept_text string"
     by_doc = texts.groupBy("bucket")

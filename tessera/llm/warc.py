@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.shipping import ship
+
 from .frames import by_bucket, id_ranges, parts, range_of, settle
 from .store import Atomic, opened
 
@@ -122,6 +124,7 @@ def write_archive(pages: DataFrame, folder: str, least_revisit: int = 0, most: i
     makes an archive without files. Other columns are not read.
     """
     spark = pages.sparkSession
+    ship(spark)
     html = F.coalesce(F.col("html"), F.lit(""))
     light = settle(pages.select("page_id", F.sha2(html, 256).alias("key"), F.octet_length(html).alias("size")))
     groups = light.where(F.col("size") >= least_revisit).groupBy("key").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null")
@@ -187,4 +190,5 @@ def read_back(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Rec
 
 def read_archive(manifest: DataFrame, folder: str) -> DataFrame:
     """The records of the manifest's files, digests verified: RECORD's columns. Files are dealt evenly to tasks."""
+    ship(manifest.sparkSession)
     return manifest.select("file").repartition(parts(manifest.sparkSession)).mapInArrow(lambda it: read_back(it, folder), RECORD)
