@@ -1,0 +1 @@
+"""Plans of whole conversions."""

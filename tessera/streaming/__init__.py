@@ -1,0 +1 @@
+"""The engine as a stream."""
