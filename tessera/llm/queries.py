@@ -12,6 +12,7 @@ from .fingerprints import compare_edits
 from .frames import settle, shared_dir, word_count
 from .mixing import mix
 from .near_dup import near_duplicates
+from .oracles import ORACLES
 from .packing import pack, token_pieces
 from .quality_rules import judge
 from .sharding import interleave
@@ -52,7 +53,8 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(documents(spark, sf_dir))
+    judged = judge(documents(spark, sf_dir))
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_js", "word_js")})
 
 
 def op6_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,4 +95,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
