@@ -92,11 +92,11 @@ def lzw_encode(data: bytes) -> bytes:
         if size == 4095:
             put(256)
             table, width = {bytes([k]): k for k in range(256)}, 9
-        elif size >= (1 << width) - 1:
+        elif size >= 1 << width:
             width += 1
     if word:
         put(table[word])
-    if len(table) + 3 >= (1 << width) - 1 and width < 12:
+    if len(table) + 3 >= 1 << width and width < 12:
         width += 1
     put(257)
     if bits:
