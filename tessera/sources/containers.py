@@ -73,7 +73,7 @@ def write_parts(rows: DataFrame, folder: str, unit: int) -> list[tuple[int, int,
 def joined_parts(parts: list[tuple[int, int, str]], block: int = 1 << 22) -> Iterator[bytes]:
     for _, _, name in parts:
         files, path = opened(name)
-        with files.open_input_stream(path) as source:
+        with files.open_input_stream(path, compression=None) as source:
             while chunk := source.read(block):
                 yield chunk
 

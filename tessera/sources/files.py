@@ -19,7 +19,7 @@ def put(uri: str, chunks: Iterable[bytes]) -> int:
     files.create_dir(folder, recursive=True)
     temporary = f"{folder}/_temporary-{uuid.uuid4().hex}-{name}"
     size = 0
-    with files.open_output_stream(temporary) as out:
+    with files.open_output_stream(temporary, compression=None) as out:
         for chunk in chunks:
             out.write(chunk)
             size += len(chunk)
