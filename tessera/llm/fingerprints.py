@@ -65,8 +65,10 @@ def phrases(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
         before[1:], before[:1] = label[:-1], 0
         before[starts] = 0
         label = TOSS[before, label]
-    peak = np.zeros(n, bool)
-    peak[1:-1] = (label[1:-1] > label[:-2]) & (label[1:-1] >= label[2:])
+    before, after = np.zeros_like(label), np.zeros_like(label)
+    before[1:], after[:-1] = label[:-1], label[1:]
+    after[starts[starts > 0] - 1] = 0  # nothing of the next text
+    peak = (label > before) & (label >= after)
     peak[starts] = True
     peak[starts[starts + 1 < n] + 1] &= edge[starts[starts + 1 < n] + 1]  # a text's first phrase has two symbols at least
     at = np.flatnonzero(peak)
