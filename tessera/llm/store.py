@@ -24,7 +24,7 @@ class Atomic:
         self.folder, _, self.name = self.path.rpartition("/")
         self.files.create_dir(self.folder, recursive=True)
         self.temporary = f"{self.folder}/_temporary-{uuid.uuid4().hex}-{self.name}"
-        self.out = self.files.open_output_stream(self.temporary)
+        self.out = self.files.open_output_stream(self.temporary, compression=None)
         self.size = 0
 
     def write(self, data: bytes) -> None:

@@ -171,7 +171,7 @@ def read_back(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Rec
     for batch in batches:
         for file in batch.column(0).to_pylist():
             rows = []
-            with files.open_input_stream(f"{path}/{file}") as stream:
+            with files.open_input_stream(f"{path}/{file}", compression=None) as stream:
                 for fields, block, at in records_of(stream, file):
                     if fields["WARC-Type"] not in ("response", "revisit"):
                         continue
