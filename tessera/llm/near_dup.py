@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.shipping import ship
@@ -19,8 +19,8 @@ from .kernels import BASE, LOWER, U, find_words, groups_of, mix, name_words, pac
 BINS, BANDS = 512, 64
 TRIES = 4096
 COPY, CANDIDATE, SIZE = 0, 1, 2
-#: Centres that a bucket tries in one of the later rounds.
-CENTRES = 16
+#: Sets of a block of members whose classes are compared in full.
+CELL = 512
 #: The largest bit map of ids that goes to all tasks: 16 MB.
 MAP_BITS = 1 << 27
 
@@ -256,6 +256,63 @@ def sets_of(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return texts.select("doc_id", "text", at.cast("int").alias("at")).mapInArrow(run, "id long, names binary")
 
 
+def linked_in(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links between classes in each cell, as many as join them: rows are (cell, id, class, names) in order of cell.
+
+    Full sets are compared as rows of a 0/1 matrix, whose product with itself holds every intersection.
+    """
+    for table in groups_of(batches, "cell"):
+        ids, classes = table.column("id").to_numpy(), table.column("class_id").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), U) for x in table.column("names").combine_chunks()]
+        size = np.array([len(x) for x in sets])
+        row = np.repeat(np.arange(len(sets)), size)
+        _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row, column = row[held[column] > 1], column[held[column] > 1]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], np.unique(column[order], return_inverse=True)[1]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            at = slice(*np.searchsorted(column, [lo, lo + 4096]))
+            part = np.zeros((len(sets), min(4096, int(column[-1]) + 1 - lo)), np.float32)
+            part[row[at], column[at] - lo] = 1
+            both += part @ part.T
+        alike = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        x, y = np.nonzero(np.triu(alike & (classes[:, None] != classes[None, :]), 1))
+        root = {c: c for c in classes.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        kept = []
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
+            a, b = find(int(classes[i])), find(int(classes[j]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                kept.append((ids[i], ids[j]))
+        if kept:
+            a, c = zip(*kept, strict=True)
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "c"])
+
+
+def in_cells(groups: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Links between different classes among the members (root, id) of each group: a, c.
+
+    A group is cut into blocks of about CELL sets, fewer if they are long, and every two blocks meet in a task's cell.
+    So a task holds two blocks, a member is sent once for each block of its group, and no pair becomes a row.
+    """
+    own = sets.withColumnRenamed("id", "member")
+    sized = settle(classed(groups.join(own, F.col("id") == F.col("member")).drop("member"), roots, "id"))
+    whole = sized.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CELL), F.ceil(F.sum(F.octet_length("names")) / (CELL * 4096))).alias("blocks"))
+    rows = sized.join(whole, "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cell = F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other"))
+    dealt = rows.select(cell.alias("cell"), "id", "class_id", "names").repartition(parts(groups.sparkSession), "cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(lambda it: linked_in(it, percent), "a long, c long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Classes of documents whose sets of `width`-word shingles are alike: doc_id, n_shingles, component_id, kept.
 
@@ -263,10 +320,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     in A-Z only. Each text's one-permutation sketch gives BANDS bucket keys. In every bucket all members are compared
     with its smallest document only: first inside each batch of documents, then among the batches' centres, so that a
     bucket of any size makes one edge a member and no task holds it whole. Copies (equal sets) are linked by digest and
-    are no candidates. Candidates are confirmed on full sets. Members of a bucket whose classes still differ are then
-    compared with further centres, the members of the smallest classes first, CENTRES a round, until every bucket is one
-    class or all its members have been centres: no pair of a bucket is lost. A pair at 80 % misses all buckets with a
-    chance of about 8e-6.
+    are no candidates. Candidates are confirmed on full sets. Buckets whose members are still of several classes make
+    groups, together with those that share a member, and in these all members are compared in blocks, class against
+    class: no pair of a bucket is lost. A pair at 80 % misses all buckets with a chance of about 8e-6.
 
     Defined results: a null, empty or wordless text has an empty set and is in a class of its own; fewer words than
     `width` make one shingle, the whole sequence; rows with one id are one member of their class, with any row's links;
@@ -292,31 +348,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     roots = components(links)
     named = classed(classed(member.select("key", "a", "c"), roots, "a"), roots, "c")
     mixed = named.where(F.col("class_a") != F.col("class_c")).select("key").distinct()
-    rows = member.join(mixed, "key", "left_semi")
-    rows = classed(rows.select("key", F.col("a").alias("doc")).union(rows.select("key", F.col("c").alias("doc"))).distinct(), roots, "doc")
-    rows = rows.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key", "class_doc")))
-    sizes = found.where((F.col("kind") == SIZE) & (F.col("key") == 1)).groupBy(F.col("a").alias("doc")).agg(F.min("c").alias("least"), F.max("c").alias("most"))
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("size", "doc"))
-    ranked = settle(rows.withColumn("rank", rank).join(sizes, "doc").select("key", "doc", "rank", "least", "most"))
-    last = 0
-    while True:
-        now = classed(ranked.where(F.col("rank") > last), roots, "doc")
-        open_keys = now.groupBy("key").agg((F.min("class_doc") != F.max("class_doc")).alias("mixed")).where("mixed").select("key")
-        now = settle(now.join(open_keys, "key", "left_semi"))
-        if now.isEmpty():
-            break
-        heads = now.where(F.col("rank") <= last + CENTRES).select("key", *[F.col(c).alias(f"head_{c}") for c in ("doc", "rank", "class_doc", "least", "most")])
-        pairs = now.join(heads, "key").where((F.col("rank") > F.col("head_rank")) & (F.col("class_doc") != F.col("head_class_doc")))
-        pairs = pairs.where((100 * F.col("most") >= percent * F.col("head_least")) & (100 * F.col("head_most") >= percent * F.col("least")))
-        pairs = pairs.select(F.greatest("doc", "head_doc").alias("a"), F.least("doc", "head_doc").alias("c")).distinct()
-        fresh = settle(pairs.join(tested, ["a", "c"], "left_anti"))
-        if not fresh.isEmpty():
-            more = settle(confirm(fresh))
-            tested = settle(tested.union(fresh))
-            if not more.isEmpty():
-                links = settle(links.union(more))
-                roots = components(links)
-        last += CENTRES
+    meet = components(member.join(mixed, "key", "left_semi").select("a", "c").distinct())
+    groups = meet.select("root", F.col("node").alias("id")).union(meet.select("root", "root")).distinct()
+    more = settle(in_cells(groups, sets, roots, percent))
+    if not more.isEmpty():
+        roots = components(links.union(more))
     sizes = found.where(F.col("kind") == SIZE).select(F.when(F.col("key") == 1, F.col("a")).alias("doc_id"), F.col("c").alias("n_shingles"))
     out = sizes.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
