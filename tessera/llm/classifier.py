@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 
 from tessera.shipping import ship
 
-from .kernels import SPACE, U, find_words, pieces
+from .kernels import SPACE, U, find_words, mix, pieces
 from .near_dup import shingle_sets
 
 #: Hashed words, then slots for coarse measures of the text.
 WORD_BITS = 18
 MEASURES, STEPS = 6, 12
 SIZE = (1 << WORD_BITS) + MEASURES * STEPS
+#: ASCII marks become spaces in the second view of a text, so that "word," and "word" share a feature.
+PLAIN = np.array([b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
 
 
 def measures(data: np.ndarray, at: np.ndarray, distinct: np.ndarray) -> np.ndarray:
@@ -48,11 +50,12 @@ def featured(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
     """Features of stretches of a text column: first row, end row, slots, where each text's slots begin."""
     for lo, hi, data, at in pieces(texts):
         names, bounds = shingle_sets(data, at, 1)
-        slots = (names >> U(64 - WORD_BITS)).astype(np.int64)
+        plain, ends = shingle_sets(PLAIN[data], at, 1)
         coarse = measures(data, at, np.diff(bounds))
-        rows = np.concatenate([np.repeat(np.arange(hi - lo), np.diff(bounds)), np.repeat(np.arange(hi - lo), MEASURES)])
-        slots = np.concatenate([slots, coarse.ravel()])[np.argsort(rows, kind="stable")]
-        yield lo, hi, slots, bounds + MEASURES * np.arange(hi - lo + 1)
+        row = np.arange(hi - lo)
+        rows = np.concatenate([np.repeat(row, np.diff(bounds)), np.repeat(row, np.diff(ends)), np.repeat(row, MEASURES)])
+        slots = np.concatenate([(names >> U(64 - WORD_BITS)).astype(np.int64), (mix(plain) >> U(64 - WORD_BITS)).astype(np.int64), coarse.ravel()])
+        yield lo, hi, slots[np.argsort(rows, kind="stable")], bounds + ends + MEASURES * np.arange(hi - lo + 1)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -75,8 +78,11 @@ class Ordinal:
         return sigmoid(scores[:, None] - self.limits[None, :])
 
 
-def fit_ordinal(slots: np.ndarray, bounds: np.ndarray, grades: np.ndarray, levels: int, steps: int = 400, batch: int = 1024, rate: float = 0.03, decay: float = 2e-5, seed: int = 0) -> Ordinal:
-    """Maximum likelihood by Adam on minibatches. The limits are a first one and positive gaps, so they stay in order."""
+def fit_ordinal(slots: np.ndarray, bounds: np.ndarray, grades: np.ndarray, levels: int, steps: int = 400, batch: int = 1024, rate: float = 0.03, decay: float = 5e-4, least: int = 3, seed: int = 0) -> Ordinal:
+    """Maximum likelihood by Adam on minibatches, with decay and a rate that falls to 0; features of fewer than `least` documents weigh nothing.
+
+    The limits are a first one and positive gaps, so they stay in order.
+    """
     rng = np.random.default_rng(seed)
     model = Ordinal(np.zeros(SIZE), np.zeros(levels - 1))
     spread = np.zeros(levels - 1)  # the first limit, then logarithms of the gaps
@@ -89,9 +95,10 @@ def fit_ordinal(slots: np.ndarray, bounds: np.ndarray, grades: np.ndarray, level
         m, v = state[name]
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
-        x -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        x -= rate * (1 - (t - 1) / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
 
     counts = np.diff(bounds)
+    seen = np.bincount(slots, minlength=SIZE) >= least
     for t in range(1, steps + 1):
         rows = rng.integers(0, len(grades), min(batch, len(grades)))
         n = counts[rows]
@@ -110,7 +117,7 @@ def fit_ordinal(slots: np.ndarray, bounds: np.ndarray, grades: np.ndarray, level
         g_theta /= len(rows)
         gaps = np.exp(np.clip(spread[1:], -4, 4))
         g_spread = np.concatenate([[g_theta.sum()], [g_theta[k + 1 :].sum() * gaps[k] for k in range(levels - 2)]])
-        g = np.bincount(used, np.repeat(g_score, n), SIZE) + decay * model.weights
+        g = np.where(seen, np.bincount(used, np.repeat(g_score, n), SIZE) + decay * model.weights, 0.0)
         move("w", model.weights, g, t)
         move("t", spread, g_spread, t)
     model.limits = limits()
@@ -145,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, seed: int = 0)
     if not parts:
         return Ordinal(np.zeros(SIZE), np.array([-1.0, 1.0]))
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
-    return fit_ordinal(np.concatenate(parts).astype(np.int64), bounds, rows.column("grade").to_numpy().astype(np.int64), 3, seed=seed)
+    return fit_ordinal(np.concatenate(parts), bounds, rows.column("grade").to_numpy().astype(np.int64), 3, seed=seed)
 
 
 def rate(docs: DataFrame, model: Ordinal, least: float = 0.5) -> DataFrame:
