@@ -321,7 +321,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     with its smallest document only: first inside each batch of documents, then among the batches' centres, so that a
     bucket of any size makes one edge a member and no task holds it whole. Copies (equal sets) are linked by digest and
     are no candidates. Candidates are confirmed on full sets. Buckets whose members are still of several classes make
-    groups, together with those that share a member, and in these all members are compared in blocks, class against
+    groups, together with those that share a member or copies of one, and in these all members are compared in blocks, class against
     class: no pair of a bucket is lost. A pair at 80 % misses all buckets with a chance of about 8e-6.
 
     Defined results: a null, empty or wordless text has an empty set and is in a class of its own; fewer words than
@@ -348,7 +348,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     roots = components(links)
     named = classed(classed(member.select("key", "a", "c"), roots, "a"), roots, "c")
     mixed = named.where(F.col("class_a") != F.col("class_c")).select("key").distinct()
-    meet = components(member.join(mixed, "key", "left_semi").select("a", "c").distinct())
+    near = settle(member.join(mixed, "key", "left_semi").select("a", "c").distinct())
+    held = near.select("a").union(near.select("c")).distinct()
+    # Of a bucket's centres that are copies only one has a candidate edge: their links keep the bucket in one group.
+    copies = found.where(F.col("kind") == COPY).select("a", "c").join(held, "a", "left_semi")
+    meet = components(near.union(copies))
     groups = meet.select("root", F.col("node").alias("id")).union(meet.select("root", "root")).distinct()
     more = settle(in_cells(groups, sets, roots, percent))
     if not more.isEmpty():

@@ -63,3 +63,16 @@ def test_thousand_copies_make_few_candidates(spark):
     df = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
     out = near_duplicates(df, 2)
     assert out.where("kept").count() == 1 and out.where("component_id = 0").count() == 1000
+
+
+def test_copies_in_two_batches_keep_a_bucket_whole(spark):
+    """Two like texts in two batches that meet only in buckets whose centres are copies in both."""
+    both = [f"s{i}" for i in range(80)]
+    copied = [" ".join([*both, *[f"x{j}_{i}" for i in range(12)]]) for j in range(40)]
+    rows = []
+    for k in range(2):
+        rows += [(100 * k + j, t) for j, t in enumerate(copied)] + [(1000 + k, " ".join([*both, *[f"u{k}_{i}" for i in range(9)]]))]
+    want = brute.near_duplicates(rows, 1, 80)
+    assert want[1001] == (89, 1000) and want[1000] == (89, 1000) and want[139] == (92, 39)
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    assert found(near_duplicates(df, 1)) == want
