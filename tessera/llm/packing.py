@@ -26,12 +26,17 @@ FAN, HANDED = 8, 1024
 def encoder(path: str):
     """The byte-level BPE of a tokenizers JSON file, run by tiktoken, which gives the same ids several times faster.
 
-    It needs merges in the order of their ids, as in every such vocabulary; another file is refused.
+    It needs merges in the order of their ids, as in every such vocabulary; another file is refused. The file's added
+    tokens are found in a text by `encode(text, allowed_special="all")`, as the library does by default;
+    `encode_ordinary` takes them for plain text. Added tokens that take spaces with them or want whole words are refused.
     """
     import tiktoken
 
     with open(path, encoding="utf-8") as file:
-        model = json.load(file)["model"]
+        whole = json.load(file)
+    model, added = whole["model"], whole.get("added_tokens") or []
+    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"an added token of {path} is not found by its bare text")
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
     made = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
@@ -41,7 +46,7 @@ def encoder(path: str):
     plain = [t for t in model["vocab"] if len(t) == 1]
     ranks = {bytes(byte_of[c] for c in t): model["vocab"][t] for t in [*plain, *made]}
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added})
 
 
 def tokenized(batches: Iterator[pa.RecordBatch], path: str, end: int, most: int) -> Iterator[pa.RecordBatch]:
@@ -49,7 +54,7 @@ def tokenized(batches: Iterator[pa.RecordBatch], path: str, end: int, most: int)
     for batch in batches:
         rows: list[tuple] = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = np.array([*code.encode_ordinary(text.as_py() or ""), end], "<u4")
+            ids = np.array([*code.encode(text.as_py() or "", allowed_special="all"), end], "<u4")
             lead = len(ids) % most or most  # the first piece takes what the full ones leave
             bounds = [0, *range(min(lead, len(ids)), len(ids) + 1, most)]
             rows += [(doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
@@ -62,7 +67,7 @@ def token_pieces(docs: DataFrame, path: str, end: int = 0, most: int = 2048) ->
     """Token pieces of at most `most` ids of every document, its ids followed by `end`: doc_id, piece, start, length, ids_crc32.
 
     Only a document of more than `most` ids is cut, into full pieces behind a first one that may be shorter. A null
-    text is an empty one: its piece is `end` alone. Nothing is shuffled.
+    text is an empty one: its piece is `end` alone. An added token's literal in a text is that token's id. Nothing is shuffled.
     """
     ship(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(lambda it: tokenized(it, path, end, most), "doc_id long, piece int, start long, length long, ids_crc32 long")

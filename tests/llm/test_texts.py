@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -123,6 +124,37 @@ def test_encoder_equals_tokenizers(text):
     assert encoder(tokenizer_path()).encode_ordinary(text) == tool.encode(text, add_special_tokens=False).ids
 
 
+SPECIAL = "<|endoftext|>"
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from([SPECIAL, SPECIAL[:-1], "<|", " ", "  ", "\n", "a", " b", "'s", "9", "é€😀"]), max_size=12).map("".join))
+def test_encoder_finds_added_tokens(text):
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(tokenizer_path())
+    assert encoder(tokenizer_path()).encode(text, allowed_special="all") == tool.encode(text, add_special_tokens=False).ids
+
+
+def test_pieces_and_flat_files_of_added_tokens(spark, tmp_path):
+    """Packing gives the literal its id, as the library does by default; flat files keep it plain, so that it ends no document."""
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(tokenizer_path())
+    texts = [f"a {SPECIAL} b", SPECIAL, f"x{SPECIAL}{SPECIAL}  y\n{SPECIAL}", f"w {SPECIAL} " * 9, "plain"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert tool.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    want = set()
+    for d, t in enumerate(texts):
+        ids = [*tool.encode(t, add_special_tokens=False).ids, 0]
+        lead = len(ids) % 5 or 5
+        bounds = [0, *range(min(lead, len(ids)), len(ids) + 1, 5)]
+        want |= {(d, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))}
+    assert {tuple(r) for r in token_pieces(df, tokenizer_path(), most=5).collect()} == want
+    files = separators.write_flat(df, f"file://{tmp_path}/t", tokenizer_path(), 50256)
+    assert separators.count_tokens(files, f"file://{tmp_path}/t", 50256).count() == len(texts)
+
+
 def gapless(rows, capacity):
     bins = defaultdict(list)
     for r in rows:
