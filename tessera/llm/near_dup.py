@@ -15,8 +15,8 @@ from .components import components
 from .frames import by_bucket, parts, settle
 from .kernels import BASE, LOWER, U, find_words, groups_of, mix, name_words, packed, pieces, windows
 
-#: Eight rows a band: a pair at 80 % misses all bands with a chance of 8e-6, one at 40 % meets in one of 4 %.
-BINS, BANDS = 512, 64
+#: Bins of a sketch, and the largest chance that a pair at the threshold misses all bands. At 80 % eight rows a band keep it: a pair at 40 % meets in one of 4 %.
+BINS, MISSED = 512, 8e-6
 TRIES = 4096
 COPY, CANDIDATE, SIZE = 0, 1, 2
 #: Sets of a block of members whose classes are compared in full.
@@ -92,9 +92,17 @@ def signatures(names: np.ndarray, bounds: np.ndarray, probe: np.ndarray) -> np.n
     return sig.reshape(n, BINS)
 
 
-def band_names(sig: np.ndarray) -> np.ndarray:
-    rows = sig.reshape(len(sig), BANDS, BINS // BANDS)
-    h = np.broadcast_to(mix(np.arange(BANDS, dtype=U) + U(1)), rows.shape[:2]).copy()
+def bands_for(percent: int) -> int:
+    """The fewest bands, of at most eight rows, with which a pair at `percent` misses all with a chance of MISSED at most."""
+    for rows in (8, 4, 2, 1):
+        if (1 - (percent / 100) ** rows) ** (BINS // rows) <= MISSED:
+            return BINS // rows
+    raise ValueError(f"pairs at {percent} % are too unlike to be found by sketches of {BINS} bins")
+
+
+def band_names(sig: np.ndarray, bands: int) -> np.ndarray:
+    rows = sig.reshape(len(sig), bands, BINS // bands)
+    h = np.broadcast_to(mix(np.arange(bands, dtype=U) + U(1)), rows.shape[:2]).copy()
     for k in range(rows.shape[2]):
         h = mix(h * BASE + rows[:, :, k])
     return h
@@ -142,7 +150,7 @@ def edges_of(kind: int, key: np.ndarray, doc: np.ndarray, more: np.ndarray) -> t
     return found, order[lead]
 
 
-def sketched(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def sketched(batches: Iterator[pa.RecordBatch], width: int, buckets: int, n_bands: int) -> Iterator[pa.RecordBatch]:
     """Of every batch of documents: star edges inside it, its centres' keys dealt by bucket, and set sizes."""
     probe = probes()
     for batch in batches:
@@ -163,8 +171,8 @@ def sketched(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Ite
             total = np.concatenate([[U(0)], np.cumsum(mix(names ^ BASE))])
             d2 = total[bounds[1:]] - total[bounds[:-1]]
             keys[COPY].append((d1[use], ids[lo:hi][use], d2[use]))
-            bands = band_names(signatures(names, bounds, probe))[use]
-            keys[CANDIDATE].append((bands.ravel(), np.repeat(ids[lo:hi][use], BANDS), np.repeat(d1[use], BANDS)))
+            bands = band_names(signatures(names, bounds, probe), n_bands)[use]
+            keys[CANDIDATE].append((bands.ravel(), np.repeat(ids[lo:hi][use], n_bands), np.repeat(d1[use], n_bands)))
         kinds, rows = [], []
         found = [[np.full(len(ids), SIZE, np.int32), known.astype(np.int64), ids, sizes]]
         for kind, got in keys.items():
@@ -317,12 +325,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """Classes of documents whose sets of `width`-word shingles are alike: doc_id, n_shingles, component_id, kept.
 
     Two documents are linked if 100 * |A and B| >= percent * |A or B|; a class is what links reach. Words are lower-cased
-    in A-Z only. Each text's one-permutation sketch gives BANDS bucket keys. In every bucket all members are compared
+    in A-Z only. Each text's one-permutation sketch gives a bucket key a band, 64 at 80 % and more below. In every bucket all members are compared
     with its smallest document only: first inside each batch of documents, then among the batches' centres, so that a
     bucket of any size makes one edge a member and no task holds it whole. Copies (equal sets) are linked by digest and
     are no candidates. Candidates are confirmed on full sets. Buckets whose members are still of several classes make
     groups, together with those that share a member or copies of one, and in these all members are compared in blocks, class against
-    class: no pair of a bucket is lost. A pair at 80 % misses all buckets with a chance of about 8e-6.
+    class: no pair of a bucket is lost. A pair at `percent` misses all buckets with a chance of at most MISSED; under 3 %,
+    where one row a band does not keep that, the call is refused.
 
     Defined results: a null, empty or wordless text has an empty set and is in a class of its own; fewer words than
     `width` make one shingle, the whole sequence; rows with one id are one member of their class, with any row's links;
@@ -330,9 +339,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     spark = docs.sparkSession
     ship(spark)
-    buckets = parts(spark)
+    buckets, bands = parts(spark), bands_for(percent)
     texts = docs.select("doc_id", "text")
-    sent = texts.mapInArrow(lambda it: sketched(it, width, buckets), "bucket int, kind int, key binary, doc binary, more binary, made binary")
+    sent = texts.mapInArrow(lambda it: sketched(it, width, buckets, bands), "bucket int, kind int, key binary, doc binary, more binary, made binary")
     found = settle(by_bucket(sent).sortWithinPartitions("bucket").mapInArrow(linked, "kind int, key long, a long, c long"))
     member = found.where(F.col("kind") == CANDIDATE)
     tested = settle(member.select("a", "c").distinct())

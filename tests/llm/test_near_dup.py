@@ -76,3 +76,24 @@ def test_copies_in_two_batches_keep_a_bucket_whole(spark):
     assert want[1001] == (89, 1000) and want[1000] == (89, 1000) and want[139] == (92, 39)
     df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
     assert found(near_duplicates(df, 1)) == want
+
+
+@pytest.mark.parametrize("percent", [50, 60])
+def test_pairs_at_a_lower_threshold(spark, percent):
+    """Pairs at the threshold itself, which sketches for 80 % would often miss."""
+    rows = []
+    for k in range(40):
+        both = [f"s{k}_{i}" for i in range(2 * percent)]
+        rows += [(2 * k + j, " ".join([*both, *[f"u{k}_{j}_{i}" for i in range(100 - percent)]])) for j in range(2)]
+    want = brute.near_duplicates(rows, 1, percent)
+    assert len({root for _, root in want.values()}) == 40
+    assert found(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, percent)) == want
+
+
+def test_bands():
+    from tessera.llm.near_dup import BINS, MISSED, bands_for
+
+    assert bands_for(80) == bands_for(100) == 64
+    assert all((1 - (p / 100) ** (BINS // bands_for(p))) ** bands_for(p) <= MISSED for p in range(3, 101))
+    with pytest.raises(ValueError, match="too unlike"):
+        bands_for(2)
