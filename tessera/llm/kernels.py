@@ -32,8 +32,9 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - counts), counts)
 
 
-def pieces(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Stretches of about `most` bytes of a string column: first row, end row, bytes, offsets; null as empty."""
+def pieces(texts: pa.Array, most: int = 1 << 19, rows: int = 1 << 14) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Stretches of about `most` bytes and at most `rows` rows of a string column: first row, end row, bytes, offsets; null
+    as empty. A longer text is a stretch of its own."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if not len(texts):
@@ -45,7 +46,7 @@ def pieces(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     lo = 0
     while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
+        hi = max(lo + 1, min(lo + rows, int(np.searchsorted(at, at[lo] + most, "right")) - 1))
         yield lo, hi, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lo = hi
 

@@ -19,10 +19,10 @@ from .kernels import BASE, LOWER, U, find_words, groups_of, mix, name_words, pac
 BINS, MISSED = 512, 8e-6
 TRIES = 4096
 COPY, CANDIDATE, SIZE = 0, 1, 2
-#: Sets of a block of members whose classes are compared in full.
-CELL = 512
-#: The largest bit map of ids that goes to all tasks: 16 MB.
-MAP_BITS = 1 << 27
+#: Loners that a cell holds, members that pass it, and rows of either that are compared at a time.
+BLOCK, STRIP, STEP = 2048, 4096, 512
+#: Texts that are sketched at a time, and their bytes: so many signatures are in memory at most.
+ROWS, BYTES = 512, 1 << 19
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +159,7 @@ def sketched(batches: Iterator[pa.RecordBatch], width: int, buckets: int, n_band
         ids = np.where(known, ids, 0).astype(np.int64)
         sizes = np.zeros(len(ids), np.int64)
         keys: dict[int, list] = {COPY: [], CANDIDATE: []}
-        for lo, hi, data, at in pieces(batch.column(1)):
+        for lo, hi, data, at in pieces(batch.column(1), BYTES, ROWS):
             names, bounds = shingle_sets(data, at, width)
             n = np.diff(bounds)
             sizes[lo:hi] = n
@@ -239,103 +239,130 @@ def confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 
 
 def sets_of(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """The shingle names of the wanted documents, and perhaps of some more: id, names.
-
-    A bit map of the wanted ids, of at most MAP_BITS bits whatever their number, goes to all tasks, so that their texts
-    need not be moved. When it would be too full to tell, the texts are joined with the ids instead.
-    """
-    n = wanted.count()
-    bits = 1 << max(16, (16 * n).bit_length())
-    if bits > MAP_BITS:
-        return texts.join(wanted, "doc_id", "left_semi").mapInArrow(lambda it: set_rows(it, width), "id long, names binary")
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(32)).cast("int"))
-    words = wanted.groupBy(F.floor(at / 32).cast("int").alias("word")).agg(F.bit_or(bit).alias("mask")).toArrow()
-    held = np.zeros(bits // 32, np.uint32)
-    held[words.column("word").to_numpy()] = words.column("mask").to_numpy().astype(np.uint32)
-    sent = texts.sparkSession.sparkContext.broadcast(held)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = batch.column(2).to_numpy()
-            hit = sent.value[place >> 5] >> (place & 31).astype(np.uint32) & 1
-            yield from set_rows([batch.filter(pa.array(hit.astype(bool)))], width)
-
-    return texts.select("doc_id", "text", at.cast("int").alias("at")).mapInArrow(run, "id long, names binary")
+    """The shingle names of the wanted documents: id, names; a row for each of their texts."""
+    return texts.join(wanted, "doc_id", "left_semi").mapInArrow(lambda it: set_rows(it, width), "id long, names binary")
+
+
+def names_of(sets: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), U) for x in sets]
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], slab: int = 2048) -> np.ndarray:
+    """The intersection sizes of every set of `left` with every one of `right`: products of 0/1 matrices over common names."""
+    sides = []
+    for sets in (left, right):
+        sides.append((np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+    common = np.intersect1d(sides[0][0], sides[1][0])
+    both = np.zeros((len(left), len(right)), np.float32)
+    found = []
+    for names, rows in sides:
+        at = np.minimum(np.searchsorted(common, names), max(0, len(common) - 1))
+        hit = common[at] == names if len(common) else np.zeros(len(names), bool)
+        order = np.argsort(at[hit], kind="stable")
+        found.append((rows[hit][order], at[hit][order]))
+    for lo in range(0, len(common), slab):
+        n = min(slab, len(common) - lo)
+        blocks = []
+        for (rows, at), sets in zip(found, (left, right), strict=True):
+            some = slice(*np.searchsorted(at, [lo, lo + n]))
+            block = np.zeros((len(sets), n), np.float32)
+            block[rows[some], at[some] - lo] = 1
+            blocks.append(block)
+        both += blocks[0] @ blocks[1].T
+    return both
 
 
 def linked_in(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Links between classes in each cell, as many as join them: rows are (cell, id, class, names) in order of cell.
+    """Links between different classes in each cell: rows are (cell, side, inner, id, class, names) in order of cell and side.
 
-    Full sets are compared as rows of a 0/1 matrix, whose product with itself holds every intersection.
+    The rows of side 0 are held; they are compared with one another if the cell is `inner`, and with the rows of side 1
+    as those pass. Of several links between two classes one is kept a step.
     """
-    for table in groups_of(batches, "cell"):
-        ids, classes = table.column("id").to_numpy(), table.column("class_id").to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), U) for x in table.column("names").combine_chunks()]
-        size = np.array([len(x) for x in sets])
-        row = np.repeat(np.arange(len(sets)), size)
-        _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        row, column = row[held[column] > 1], column[held[column] > 1]
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], np.unique(column[order], return_inverse=True)[1]
-        both = np.zeros((len(sets), len(sets)), np.float32)
-        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-            at = slice(*np.searchsorted(column, [lo, lo + 4096]))
-            part = np.zeros((len(sets), min(4096, int(column[-1]) + 1 - lo)), np.float32)
-            part[row[at], column[at] - lo] = 1
-            both += part @ part.T
-        alike = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-        x, y = np.nonzero(np.triu(alike & (classes[:, None] != classes[None, :]), 1))
-        root = {c: c for c in classes.tolist()}
-
-        def find(c: int) -> int:
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-
-        kept = []
-        for i, j in zip(x.tolist(), y.tolist(), strict=True):
-            a, b = find(int(classes[i])), find(int(classes[j]))
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                kept.append((ids[i], ids[j]))
-        if kept:
-            a, c = zip(*kept, strict=True)
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "c"])
-
-
-def in_cells(groups: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Links between different classes among the members (root, id) of each group: a, c.
-
-    A group is cut into blocks of about CELL sets, fewer if they are long, and every two blocks meet in a task's cell.
-    So a task holds two blocks, a member is sent once for each block of its group, and no pair becomes a row.
+
+    def links(a: tuple, c: tuple, same: bool) -> Iterator[pa.RecordBatch]:
+        sizes = [np.array([len(x) for x in rows[2]]) for rows in (a, c)]
+        both = shared_counts(a[2], c[2])
+        alike = (100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)) & (a[1][:, None] != c[1][None, :])
+        x, y = np.nonzero(np.triu(alike, 1) if same else alike)
+        if len(x):
+            _, first = np.unique(np.stack([a[1][x], c[1][y]]), axis=1, return_index=True)
+            x, y = x[first], y[first]
+            yield pa.record_batch([pa.array(a[0][x]), pa.array(c[0][y])], names=["a", "c"])
+
+    now, held = None, None
+    for batch in batches:
+        cells, sides, inner, ids, classes = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+        sets = names_of(batch.column(5))
+        size = np.cumsum([len(x) for x in sets])
+        lo = 0
+        while lo < len(cells):
+            # Up to STEP rows of one cell and side, fewer if they are long.
+            hi = lo + 1
+            while hi < len(cells) and hi - lo < STEP and cells[hi] == cells[lo] and sides[hi] == sides[lo] and size[hi] - size[lo] < STEP * 512:
+                hi += 1
+            rows = (ids[lo:hi], classes[lo:hi], sets[lo:hi])
+            if cells[lo] != now:
+                now, held = cells[lo], []
+            for before in held:
+                if sides[lo] == 1 or inner[lo]:
+                    yield from links(before, rows, False)
+            if sides[lo] == 0:
+                if inner[lo]:
+                    yield from links(rows, rows, True)
+                held.append(rows)
+            lo = hi
+
+
+def left_over(members: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Links between different classes inside each bucket (members: key, id): a, c.
+
+    The members of a bucket's largest class are linked already, so a link that is still to be found has one end at
+    least among the others, the loners. These are cut into blocks, the bucket into strips, and a cell holds a block and
+    lets a strip pass: a member is sent once for each block of loners, a loner once for each strip, no pair becomes a
+    row, and cells have a bounded number of rows and bytes whatever the bucket's size. Only buckets of several classes
+    are compared.
     """
-    own = sets.withColumnRenamed("id", "member")
-    sized = settle(classed(groups.join(own, F.col("id") == F.col("member")).drop("member"), roots, "id"))
-    whole = sized.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CELL), F.ceil(F.sum(F.octet_length("names")) / (CELL * 4096))).alias("blocks"))
-    rows = sized.join(whole, "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cell = F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other"))
-    dealt = rows.select(cell.alias("cell"), "id", "class_id", "names").repartition(parts(groups.sparkSession), "cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(lambda it: linked_in(it, percent), "a long, c long")
+    bytes_ = sets.groupBy("id").agg(F.sum(F.octet_length("names")).alias("bytes"))
+    known = bytes_.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("id", "bytes", F.coalesce("root", "id").alias("class_id"))
+    held = settle(members.join(known, "id"))
+    by_class = held.groupBy("key", "class_id").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    largest = F.max_by(F.struct("class_id", "n", "bytes"), F.struct("n", F.col("class_id")))
+    mixed = by_class.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), largest.alias("main")).where("classes > 1")
+    blocks = F.greatest(F.ceil((F.col("n") - F.col("main.n")) / BLOCK), F.ceil((F.col("bytes") - F.col("main.bytes")) / (BLOCK * 4096)))
+    strips = F.greatest(F.ceil(F.col("n") / STRIP), F.ceil(F.col("bytes") / (STRIP * 4096)))
+    mixed = mixed.select("key", F.col("main.class_id").alias("main"), blocks.alias("blocks"), strips.alias("strips"))
+    rows = held.select("key", "id", "class_id").join(mixed.hint("merge"), "key")  # a merge join, in which hot keys are split
+    rows = rows.withColumn("own", F.when(F.col("class_id") != F.col("main"), F.pmod(F.xxhash64("id"), F.col("blocks"))))
+    zero = F.lit(0).cast("long")
+    # A loner is held in its own block, in all strips, and passes the blocks before that; the others pass all blocks.
+    stays = F.when(F.col("own").isNotNull(), F.transform(F.sequence(zero, F.col("strips") - 1), lambda s: F.struct(F.col("own").alias("block"), s.alias("strip"), F.lit(0).alias("side"))))
+    upto = F.coalesce(F.col("own"), F.col("blocks"))
+    strip = F.pmod(F.xxhash64("id", F.lit(1)), F.col("strips"))
+    passes = F.when(upto > 0, F.transform(F.sequence(zero, upto - 1), lambda b: F.struct(b.alias("block"), strip.alias("strip"), F.lit(1).alias("side"))))
+    empty = F.array().cast("array<struct<block:bigint,strip:bigint,side:int>>")
+    rows = rows.select("key", "id", "class_id", F.explode(F.concat(F.coalesce(stays, empty), F.coalesce(passes, empty))).alias("at"))
+    cell = F.xxhash64("key", "at.block", "at.strip")
+    rows = rows.select(cell.alias("cell"), "at.side", (F.col("at.strip") == 0).alias("inner"), "id", "class_id")
+    dealt = rows.join(sets, "id").select("cell", "side", "inner", "id", "class_id", "names").repartition(parts(sets.sparkSession), "cell").sortWithinPartitions("cell", "side")
+    return dealt.mapInArrow(lambda it: linked_in(it, percent), "a long, c long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Classes of documents whose sets of `width`-word shingles are alike: doc_id, n_shingles, component_id, kept.
 
     Two documents are linked if 100 * |A and B| >= percent * |A or B|; a class is what links reach. Words are lower-cased
-    in A-Z only. Each text's one-permutation sketch gives a bucket key a band, 64 at 80 % and more below. In every bucket all members are compared
-    with its smallest document only: first inside each batch of documents, then among the batches' centres, so that a
-    bucket of any size makes one edge a member and no task holds it whole. Copies (equal sets) are linked by digest and
-    are no candidates. Candidates are confirmed on full sets. Buckets whose members are still of several classes make
-    groups, together with those that share a member or copies of one, and in these all members are compared in blocks, class against
-    class: no pair of a bucket is lost. A pair at `percent` misses all buckets with a chance of at most MISSED; under 3 %,
-    where one row a band does not keep that, the call is refused.
+    in A-Z only. Each text's one-permutation sketch gives a bucket key a band, 64 at 80 % and more below. In every bucket
+    all members are compared with its smallest document only: first inside each batch of documents, then among the
+    batches' centres, so that a bucket of any size makes one edge a member and no task holds it whole. Copies (equal
+    sets) are linked by digest and are no candidates. Candidates are confirmed on full sets. In buckets whose members are
+    still of several classes, those outside the largest class are compared with all members, in cells of bounded size:
+    no pair of a bucket is lost. A pair at `percent` misses all buckets with a chance of at most MISSED; under 3 %, where
+    one row a band does not keep that, the call is refused.
 
     Defined results: a null, empty or wordless text has an empty set and is in a class of its own; fewer words than
-    `width` make one shingle, the whole sequence; rows with one id are one member of their class, with any row's links;
-    a null id has a null class and is kept; an empty table gives an empty one. Other columns are not read.
+    `width` make one shingle, the whole sequence; a very long text is one document with all its shingles, sketched alone;
+    rows with one id are one member of their class, with any row's links; equal sets are one class, under the smallest
+    id; a null id has a null class and is kept; an empty table gives an empty one. Other columns are not read.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -344,28 +371,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sent = texts.mapInArrow(lambda it: sketched(it, width, buckets, bands), "bucket int, kind int, key binary, doc binary, more binary, made binary")
     found = settle(by_bucket(sent).sortWithinPartitions("bucket").mapInArrow(linked, "kind int, key long, a long, c long"))
     member = found.where(F.col("kind") == CANDIDATE)
-    tested = settle(member.select("a", "c").distinct())
-    wanted = tested.select(F.col("a").alias("doc_id")).union(tested.select("c")).distinct()
-    sets = settle(sets_of(texts, settle(wanted), width))
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(sets.select(F.col("id").alias("a"), F.col("names").alias("names_a")), "a")
-        both = left.join(sets.select(F.col("id").alias("c"), F.col("names").alias("names_c")), "c").select("a", "c", "names_a", "names_c")
-        return both.mapInArrow(lambda it: confirmed(it, percent), "a long, c long")
-
-    links = settle(found.where(F.col("kind") == COPY).select("a", "c").union(confirm(tested)).distinct())
-    roots = components(links)
-    named = classed(classed(member.select("key", "a", "c"), roots, "a"), roots, "c")
-    mixed = named.where(F.col("class_a") != F.col("class_c")).select("key").distinct()
-    near = settle(member.join(mixed, "key", "left_semi").select("a", "c").distinct())
-    held = near.select("a").union(near.select("c")).distinct()
-    # Of a bucket's centres that are copies only one has a candidate edge: their links keep the bucket in one group.
-    copies = found.where(F.col("kind") == COPY).select("a", "c").join(held, "a", "left_semi")
-    meet = components(near.union(copies))
-    groups = meet.select("root", F.col("node").alias("id")).union(meet.select("root", "root")).distinct()
-    more = settle(in_cells(groups, sets, roots, percent))
-    if not more.isEmpty():
-        roots = components(links.union(more))
+    ends = F.explode(F.array("a", "c")).alias("id")
+    wanted = member.select(ends.alias("doc_id")).distinct()
+    sets = settle(sets_of(texts, wanted, width))
+    left = member.select("a", "c").distinct().join(sets.select(F.col("id").alias("a"), F.col("names").alias("names_a")), "a")
+    both = left.join(sets.select(F.col("id").alias("c"), F.col("names").alias("names_c")), "c").select("a", "c", "names_a", "names_c")
+    alike = both.mapInArrow(lambda it: confirmed(it, percent), "a long, c long")
+    roots = components(found.where(F.col("kind") == COPY).select("a", "c").union(alike))
+    more = settle(left_over(member.select("key", ends).distinct(), sets, roots, percent))
+    if not more.isEmpty():  # links between classes, so what they join is found among the classes' roots alone
+        between = classed(classed(more, roots, "a"), roots, "c").select(F.col("class_a").alias("a"), F.col("class_c").alias("c"))
+        upper = components(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        alone = upper.select(F.col("root").alias("node"), F.col("top").alias("root"))  # roots themselves, with links or without
+        roots = roots.join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(alone)
     sizes = found.where(F.col("kind") == SIZE).select(F.when(F.col("key") == 1, F.col("a")).alias("doc_id"), F.col("c").alias("n_shingles"))
     out = sizes.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))

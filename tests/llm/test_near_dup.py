@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,14 +43,32 @@ def test_chains_and_boilerplate(spark):
     assert found(near_duplicates(df, 2)) == brute.near_duplicates(rows, 2, 80)
 
 
-def test_join_instead_of_bit_map(docs, monkeypatch):
+def test_small_cells(docs, monkeypatch):
+    """Buckets of more loners and members than a cell takes."""
     from tessera.llm import near_dup
 
-    monkeypatch.setattr(near_dup, "MAP_BITS", 8)
+    for name, most in (("BLOCK", 3), ("STRIP", 4), ("STEP", 2), ("ROWS", 5)):
+        monkeypatch.setattr(near_dup, name, most)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert found(near_duplicates(docs, 2)) == brute.near_duplicates(rows, 2, 80)
 
 
+def test_loners_of_one_bucket(spark):
+    """A family whose members are alike to some of the others only: what the stars leave over is found in cells."""
+    pick = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(400):
+        text = list(base)
+        for k in range(pick.randint(4, 14)):
+            text[pick.randrange(120)] = f"n{i}_{k}"
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = brute.near_duplicates(rows, 1, 80)
+    assert 1 < len({root for _, root in want.values()}) < 200
+    assert found(near_duplicates(df, 1)) == want
+
+
 def test_components(spark):
     links = [(i + 1, i) for i in range(60)] + [(200, 100), (200, 150), (7, 7)]
     out = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, c long")).collect()}
