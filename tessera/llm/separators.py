@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 from tessera.shipping import ship
 
 from .frames import parts, settle
-from .packing import encoder
 from .store import Atomic, opened
+from .tokens import encoder
 
 
 def flat_file(batches: Iterator[pa.RecordBatch], folder: str, path: str, end: int, kind: str) -> Iterator[pa.RecordBatch]:
     code, out = encoder(path), None
     for batch in batches:
         for text in batch.column(0):
-            ids = np.array([*code.encode_ordinary(text.as_py() or ""), end], kind)
+            ids = np.array([*code.encode(text.as_py() or "", added=False), end], kind)
             out = out or Atomic(f"{folder}/tokens-{TaskContext.get().partitionId():06d}.bin")
             out.write(ids.tobytes())
     if out:
@@ -30,7 +30,12 @@ def flat_file(batches: Iterator[pa.RecordBatch], folder: str, path: str, end: in
 
 
 def write_flat(docs: DataFrame, folder: str, path: str, end: int, kind: str = "<u2") -> DataFrame:
-    """Token ids of all texts, each followed by `end`, in flat files, one for each task: file, n_tokens. Null is empty."""
+    """Token ids of all texts, each followed by `end`, in flat files, one for each task: file, n_tokens.
+
+    Defined results: a null or empty text is `end` alone; a very long one is written as one document; rows are written
+    one by one, equal ones too; an empty table makes no file. Only the text is read. An id that `kind` cannot hold is
+    an error.
+    """
     ship(docs.sparkSession)
     return settle(docs.select("text").mapInArrow(lambda it: flat_file(it, folder, path, end, kind), "file string, n_tokens long"))
 
@@ -57,24 +62,30 @@ def count_tokens(files: DataFrame, folder: str, end: int, kind: str = "<u2", blo
     so that a document over several blocks is counted once. n_tokens is without the separator.
 
     Defined results: two separators in a row hold a document of 0 tokens; tokens behind the last separator are a
-    document that has not ended; an empty file has none; a file named twice is read once.
+    document that has not ended; a document may be longer than any block; an empty file has none; a file named twice
+    is read once; a null name or count is no file; an empty table gives an empty one. Columns other than file and
+    n_tokens are not read.
     """
     spark = files.sparkSession
     ship(spark)
-    cut = files.dropDuplicates(["file"]).where("n_tokens > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_tokens") - 1) / block))))
+    cut = files.select("file", "n_tokens").dropDuplicates(["file"]).where("file is not null and n_tokens > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_tokens") - 1) / block))))
     start = F.col("block") * block
     blocks = cut.select("file", "block", start.alias("start"), F.least(F.lit(block).cast("long"), F.col("n_tokens") - start).alias("length"))
     found = settle(blocks.repartition(parts(spark)).mapInArrow(lambda it: searched(it, folder, end, kind), "file string, block long, start long, length long, ends array<long>"))
+    last_end = F.element_at(F.when(F.size("ends") > 0, F.col("ends")), -1)
+    light = found.select("file", "block", F.size("ends").alias("n"), last_end.alias("at"), (F.col("start") + F.col("length")).alias("upto"))
     in_file = Window.partitionBy("file").orderBy("block")
     before = in_file.rowsBetween(Window.unboundedPreceding, -1)
-    scanned = found.select(
+    # The scan of a file holds a number or two for each block; the separators stay where they were found.
+    places = light.select(
         "file",
-        "ends",
-        F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("done"),
-        F.coalesce(F.max(F.element_at(F.when(F.size("ends") > 0, F.col("ends")), -1)).over(before), F.lit(-1)).alias("last"),
-        (F.col("start") + F.col("length")).alias("upto"),
+        "block",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("done"),
+        F.coalesce(F.max("at").over(before), F.lit(-1)).alias("last"),
+        "upto",
         F.lead("block").over(in_file).isNull().alias("final"),
     )
+    scanned = found.select("file", "block", "ends").join(places, ["file", "block"])
     docs = scanned.select("file", "done", "last", "ends", F.posexplode("ends").alias("i", "at")).select(
         "file",
         (F.col("done") + F.col("i")).alias("ordinal"),

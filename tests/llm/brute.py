@@ -101,12 +101,12 @@ def edits(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, str]]:
     return out
 
 
-def token_pieces(rows: list[tuple[int, str | None]], path: str, most: int) -> dict[tuple[int, int], tuple[int, int, int]]:
+def token_pieces(rows: list[tuple[int, str | None]], path: str, most: int, special: bool = True) -> dict[tuple[int, int], tuple[int, int, int]]:
     """(doc_id, piece) -> start, length, CRC-32 of the ids, by the tokenizers library."""
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(path)
-    tool.encode_special_tokens = True
+    tool.encode_special_tokens = special
     out = {}
     for d, t in rows:
         ids = [*tool.encode(t or "", add_special_tokens=False).ids, 0]

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm import classifier, separators, warc
 from tessera.llm.fingerprints import compare_edits, fingerprint, likeness, sketches
-from tessera.llm.packing import best_fit, encoder, pack, token_pieces
+from tessera.llm.packing import best_fit, pack, token_pieces
 from tessera.llm.queries import tokenizer_path
+from tessera.llm.tokens import encoder
 from tests.llm import brute
 from tests.llm.conftest import EDGES
 
@@ -110,7 +111,7 @@ def test_separators_of_texts(edges, empty, tmp_path):
     files = separators.write_flat(edges, f"file://{tmp_path}/t", tokenizer_path(), 50256)
     out = separators.count_tokens(files, f"file://{tmp_path}/t", 50256, block=777).collect()
     code = encoder(tokenizer_path())
-    assert sorted(r.n_tokens for r in out) == sorted(len(code.encode_ordinary(t or "")) for _, t, _, _ in EDGES)
+    assert sorted(r.n_tokens for r in out) == sorted(len(code.encode(t or "", added=False)) for _, t, _, _ in EDGES)
     assert separators.count_tokens(separators.write_flat(empty, f"file://{tmp_path}/u", tokenizer_path(), 50256), f"file://{tmp_path}/u", 50256).count() == 0
 
 
@@ -121,7 +122,7 @@ def test_encoder_equals_tokenizers(text):
 
     tool = Tokenizer.from_file(tokenizer_path())
     tool.encode_special_tokens = True
-    assert encoder(tokenizer_path()).encode_ordinary(text) == tool.encode(text, add_special_tokens=False).ids
+    assert encoder(tokenizer_path()).encode(text, added=False) == tool.encode(text, add_special_tokens=False).ids
 
 
 SPECIAL = "<|endoftext|>"
@@ -133,7 +134,7 @@ def test_encoder_finds_added_tokens(text):
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(tokenizer_path())
-    assert encoder(tokenizer_path()).encode(text, allowed_special="all") == tool.encode(text, add_special_tokens=False).ids
+    assert encoder(tokenizer_path()).encode(text) == tool.encode(text, add_special_tokens=False).ids
 
 
 def test_pieces_and_flat_files_of_added_tokens(spark, tmp_path):
@@ -180,7 +181,50 @@ def test_packing_edges(edges, empty, spark):
     assert gapless(out, 2048) and sum(1 for r in out if r.piece == 0) == len(EDGES)
     assert pack(token_pieces(empty, tokenizer_path())).count() == 0
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), (60 + F.col("id") % 7).cast("long").alias("length"), F.lit(1).cast("long").alias("ids_crc32")).repartition(20)
-    assert gapless(pack(rows, capacity=100, handed=3).collect(), 100) == 3000  # none fits beside another
+    assert gapless(pack(rows, capacity=100, chunk=50).collect(), 100) == 3000  # none fits beside another
+
+
+def test_packing_does_not_depend_on_the_tables_order(spark):
+    """Long pieces first, then the short ones that fit beside them: as good as dealt at random, and near the least."""
+    rows = spark.range(20_000).select(
+        F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"),
+        F.when(F.col("id") < 10_000, 1100 + F.pmod(F.xxhash64("id"), F.lit(400))).otherwise(500 + F.pmod(F.xxhash64("id"), F.lit(400))).cast("long").alias("length"),
+        F.lit(1).cast("long").alias("ids_crc32"), F.lit("x").alias("offset"),
+    )
+    n = gapless(pack(rows.repartitionByRange(8, "doc_id")).collect(), 2048)
+    assert n <= 10_100
+    assert gapless(pack(rows.repartition(8)).collect(), 2048) == n
+
+
+def test_small_bins_find_their_hosts(spark):
+    """A small piece a task and many bins with just enough room: none may be left alone."""
+    rows = [(i, 0, 0, 1700, 1) for i in range(300)] + [(1000 + i, 0, 0, 340 - i, 1) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    assert gapless(pack(df, chunk=16).collect(), 2048) == 300
+
+
+@pytest.mark.parametrize("space", [" ", "\n", "\u3000"])
+def test_long_white_space(spark, space, tmp_path):
+    """Two megabytes of white space, on which the fast encoder gives up, have the library's ids."""
+    from tokenizers import Tokenizer
+
+    text = "a " + space * (2_000_000 // len(space.encode())) + " b" + SPECIAL
+    df = spark.createDataFrame([(1, text), (2, "c")], "doc_id long, text string")
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in token_pieces(df, tokenizer_path()).collect()} == brute.token_pieces([(1, text), (2, "c")], tokenizer_path(), 2048, special=False)
+    files = separators.write_flat(df, f"file://{tmp_path}/t", tokenizer_path(), 50256)
+    tool = Tokenizer.from_file(tokenizer_path())
+    tool.encode_special_tokens = True
+    assert sorted(r.n_tokens for r in separators.count_tokens(files, f"file://{tmp_path}/t", 50256).collect()) == [1, len(tool.encode(text, add_special_tokens=False).ids)]
+
+
+def test_other_tokenizer_files_go_through_the_library():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    assert encoder(path).fast is None
+    assert encoder(path).encode("Ein Text, zwei") == Tokenizer.from_file(path).encode("Ein Text, zwei", add_special_tokens=False).ids
 
 
 def test_best_fit():
