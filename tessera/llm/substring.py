@@ -98,11 +98,24 @@ def row_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 SENT = "bucket int, kind int, names binary, docs binary, more binary"
 ASKED, SETTLED = 0, 1
+#: Kinds of rows of a bucket of documents: marks, which come first, and texts.
+MARKS, TEXTS = 0, 1
 
 
 def doc_bucket(docs: np.ndarray, n: int) -> np.ndarray:
-    """The bucket of a document among twice as many as there are of names."""
-    return docs % (2 * n)
+    """The bucket of a document: Spark's own hash of its id (Murmur3 of a 64-bit number from the seed 42) modulo n."""
+    u = np.uint32
+    h = np.full(len(docs), 42, u)
+    bits = docs.astype(np.int64).view(U)
+    for half in ((bits & U(0xFFFFFFFF)).astype(u), (bits >> U(32)).astype(u)):
+        k = half * u(0xCC9E2D51)
+        k = (k << u(15) | k >> u(17)) * u(0x1B873593)
+        h ^= k
+        h = (h << u(13) | h >> u(19)) * u(5) + u(0xE6546B64)
+    h ^= u(8)
+    h = (h ^ h >> u(16)) * u(0x85EBCA6B)
+    h = (h ^ h >> u(13)) * u(0xC2B2AE35)
+    return (h ^ h >> u(16)).view(np.int32).astype(np.int64) % n
 
 
 def known_rows(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +147,7 @@ def seeded(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iter
         names, docs = unique_pairs(np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got]))
         shared, lead = split_shared(names, docs)
         rows = [(b, ASKED, n, d, s) for b, (n, d, s) in packed(names[lead], bucket_of_name(names[lead], buckets), buckets, docs[lead], shared[lead])]
-        rows += [(b, SETTLED, n, d, b"") for b, (n, d) in packed(names[shared & ~lead], doc_bucket(docs[shared & ~lead], buckets), 2 * buckets, docs[shared & ~lead])]
+        rows += [(b, SETTLED, n, d, b"") for b, (n, d) in packed(names[shared & ~lead], doc_bucket(docs[shared & ~lead], buckets), buckets, docs[shared & ~lead])]
         yield row_batch(rows)
 
 
@@ -163,43 +176,66 @@ def shared_seeds(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
             size = np.diff(np.append(first, len(names)))
             several = (size > 1) | np.logical_or.reduceat(flag, first)
             use = np.repeat(several, size)
-            rows += [(b, SETTLED, n, d, b"") for b, (n, d) in packed(names[use], doc_bucket(docs[use], buckets), 2 * buckets, docs[use])]
+            rows += [(b, SETTLED, n, d, b"") for b, (n, d) in packed(names[use], doc_bucket(docs[use], buckets), buckets, docs[use])]
         yield row_batch(rows)
 
 
-def joined(table: pa.Table, column: str, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
+def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
+    """Texts with the marks of their bucket: keys of names in documents in order, those documents, a batch of texts.
 
-
-def extended(texts: pa.Table, seeds: pa.Table, length: int, buckets: int) -> pa.Table:
-    """Windows that hold a shared anchor, on both sides of it: those of a smaller document of this bucket are settled, of
-    the others the smallest document is sent."""
-    out = []
-    if seeds.num_rows and texts.num_rows:
-        wanted = joined(seeds, "docs", np.int64)
-        asked, some = np.unique(owned(joined(seeds, "names", U), wanted)), np.unique(wanted)
-        ids_column = texts.column("doc_id").combine_chunks()
-        known, ids = known_rows(ids_column)
+    Rows come by bucket, its marks (rows with names) before its texts, so only marks and one batch are held.
+    """
+    now, held = None, []
+    asked, some = np.zeros(0, U), np.zeros(0, np.int64)
+    for batch in batches:
+        bucket, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (kind[1:] != kind[:-1])) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(bucket)], strict=True):
+            if lo == hi:
+                continue
+            if bucket[lo] != now:
+                now, held = bucket[lo], []
+                asked, some = np.zeros(0, U), np.zeros(0, np.int64)
+            rows = batch.slice(lo, hi - lo)
+            if kind[lo] == MARKS:
+                for names, docs in zip(rows.column(2), rows.column(3), strict=True):
+                    held.append((np.frombuffer(names.as_buffer(), U), np.frombuffer(docs.as_buffer(), np.int64)))
+                continue
+            if held:
+                names, docs = (np.concatenate(x) for x in zip(*held, strict=True))
+                held, asked, some = [], np.unique(owned(names, docs)), np.unique(docs)
+            yield asked, some, rows
+
+
+def extended(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Matches at shared anchors, extended both ways: the windows from the anchor as their last seed to it as their first.
+
+    Windows of a smaller document of this batch are settled, of the others the smallest document is sent.
+    """
+    for asked, some, rows in marked(batches):
+        known, ids = known_rows(rows.column(4))
         got = []
-        for lo, hi, data, at in pieces(texts.column("text")):
-            text = Text(data, at, length, known[lo:hi] & among(ids[lo:hi], some))
-            docs = text.documents(ids[lo:hi])
-            where = np.flatnonzero(among(owned(text.anchors(), docs), asked))
-            if len(where):
-                got.append((text.windows(where), text.more(where), docs[where]))
-        if got:
-            one, two, docs = (np.concatenate(x) for x in zip(*got, strict=True))
-            order = np.lexsort((docs, two, one))
-            one, two, docs = one[order], two[order], docs[order]
-            new = np.ones(len(one), bool)
-            new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-            fresh = new.copy()
-            fresh[1:] |= docs[1:] != docs[:-1]
-            least = docs[np.flatnonzero(new)][np.cumsum(new) - 1]
-            late = fresh & (docs != least)
-            out += [(b, ASKED, n, d, m) for b, (n, d, m) in packed(one[new], bucket_of_name(one[new], buckets), buckets, docs[new], two[new])]
-            out += [(b, SETTLED, n, d, b"") for b, (n, d) in packed(one[late], doc_bucket(docs[late], buckets), 2 * buckets, docs[late])]
-    return pa.Table.from_batches([row_batch(out)])
+        if len(asked):
+            for lo, hi, data, at in pieces(rows.column(5)):
+                text = Text(data, at, length, known[lo:hi] & among(ids[lo:hi], some))
+                docs = text.documents(ids[lo:hi])
+                where = np.flatnonzero(among(owned(text.anchors(), docs), asked))
+                if len(where):
+                    got.append((text.windows(where), text.more(where), docs[where]))
+        if not got:
+            continue
+        one, two, docs = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.lexsort((docs, two, one))
+        one, two, docs = one[order], two[order], docs[order]
+        new = np.ones(len(one), bool)
+        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        fresh = new.copy()
+        fresh[1:] |= docs[1:] != docs[:-1]
+        least = docs[np.flatnonzero(new)][np.cumsum(new) - 1]
+        late = fresh & (docs != least)
+        out = [(b, ASKED, n, d, m) for b, (n, d, m) in packed(one[new], bucket_of_name(one[new], buckets), buckets, docs[new], two[new])]
+        out += [(b, SETTLED, n, d, b"") for b, (n, d) in packed(one[late], doc_bucket(docs[late], buckets), buckets, docs[late])]
+        yield row_batch(out)
 
 
 def repeats(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -220,31 +256,58 @@ def repeats(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
             new = np.ones(len(one), bool)
             new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
             late = docs != docs[np.flatnonzero(new)][np.cumsum(new) - 1]
-            rows += [(b, SETTLED, n, d, b"") for b, (n, d) in packed(one[late], doc_bucket(docs[late], buckets), 2 * buckets, docs[late])]
+            rows += [(b, SETTLED, n, d, b"") for b, (n, d) in packed(one[late], doc_bucket(docs[late], buckets), buckets, docs[late])]
         yield row_batch(rows)
 
 
-def cut(texts: pa.Table, marks: pa.Table, length: int, layout: bool) -> pa.Table:
-    """Every text without the words that marked windows cover."""
-    wanted = joined(marks, "docs", np.int64) if marks.num_rows else np.zeros(0, np.int64)
-    asked = np.unique(owned(joined(marks, "names", U), wanted)) if marks.num_rows else np.zeros(0, U)
-    some = np.unique(wanted)
-    ids_column = texts.column("doc_id").combine_chunks()
-    known, ids = known_rows(ids_column)
-    n_words, n_removed, kept = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), []
-    for lo, hi, data, at in pieces(texts.column("text")):
-        text = Text(data, at, length, known[lo:hi] & among(ids[lo:hi], some))
-        step = np.zeros(len(text.used) + 1, np.int64)
-        hit = text.at[among(owned(text.windows(), text.documents(ids[lo:hi])), asked)]
-        np.add.at(step, hit, 1)
-        np.add.at(step, hit + length, -1)
-        gone = np.zeros(len(text.starts), bool)
-        gone[text.used] = np.cumsum(step)[:-1] > 0
-        sums = np.concatenate([[0], np.cumsum(gone)])
-        n_words[lo:hi], n_removed[lo:hi] = text.n_words, sums[text.first[1:]] - sums[text.first[:-1]]
-        kept.append(without(data, at, text, gone) if layout else spaced(data, text, gone))
-    made = {"doc_id": ids_column, "n_words": pa.array(n_words), "n_removed": pa.array(n_removed), "kept_text": pa.chunked_array(kept, pa.string())}
-    return pa.table(made | {c: texts.column(c) for c in texts.column_names[3:]})
+def stretches(text: Text, hit: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal repeats: first words, among the used, and lengths of the runs of neighbouring windows that are repeats.
+
+    `hit` has the first words of those windows in order. Windows of two texts are never neighbours: a text's last
+    length - 1 words begin none. A repeat of more than a window is one whole stretch.
+    """
+    new = np.ones(len(hit), bool)
+    new[1:] = hit[1:] != hit[:-1] + 1
+    first = np.flatnonzero(new)
+    runs = np.diff(np.append(first, len(hit)))
+    return hit[first], runs + length - 1
+
+
+def found_in(asked: np.ndarray, some: np.ndarray, known: np.ndarray, ids: np.ndarray, data: np.ndarray, at: np.ndarray, length: int) -> tuple[Text, np.ndarray, np.ndarray]:
+    """A piece of texts, and its maximal repeats."""
+    text = Text(data, at, length, known & among(ids, some))
+    hit = text.at[among(owned(text.windows(), text.documents(ids)), asked)] if len(asked) else text.at[:0]
+    return text, *stretches(text, hit, length)
+
+
+def spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    for asked, some, rows in marked(batches):
+        known, ids = known_rows(rows.column(4))
+        for lo, hi, data, at in pieces(rows.column(5)):
+            text, first, size = found_in(asked, some, known[lo:hi], ids[lo:hi], data, at, length)
+            if len(first):
+                place = text.used[first]
+                row = np.searchsorted(text.first, place, "right") - 1
+                yield pa.record_batch([pa.array(ids[lo:hi][row]), pa.array(place - text.first[row]), pa.array(size)], names=["doc_id", "start", "n_words"])
+
+
+def cut(batches: Iterator[pa.RecordBatch], length: int, layout: bool) -> Iterator[pa.RecordBatch]:
+    """Every text without the words of its maximal repeats, a piece of a batch at a time."""
+    for asked, some, rows in marked(batches):
+        known, ids = known_rows(rows.column(4))
+        for lo, hi, data, at in pieces(rows.column(5)):
+            text, first, size = found_in(asked, some, known[lo:hi], ids[lo:hi], data, at, length)
+            step = np.zeros(len(text.used) + 1, np.int64)
+            np.add.at(step, first, 1)
+            np.add.at(step, first + size, -1)
+            gone = np.zeros(len(text.starts), bool)
+            gone[text.used] = np.cumsum(step)[:-1] > 0
+            sums = np.concatenate([[0], np.cumsum(gone)])
+            n_removed = sums[text.first[1:]] - sums[text.first[:-1]]
+            kept = without(data, at, text, gone) if layout else spaced(data, text, gone)
+            part = rows.slice(lo, hi - lo)
+            others = [part.column(k) for k in range(6, part.num_columns)]
+            yield pa.record_batch([part.column(4), pa.array(text.n_words), pa.array(n_removed), kept, *others], names=["doc_id", "n_words", "n_removed", "kept_text", *part.schema.names[6:]])
 
 
 def strings(data: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -277,30 +340,55 @@ def spaced(data: np.ndarray, text: Text, gone: np.ndarray) -> pa.Array:
     return strings(out, np.concatenate([[0], ends])[first])
 
 
+def matched(docs: DataFrame, length: int, carried: tuple[str, ...]) -> DataFrame:
+    """Rows of `marked`: every bucket's texts behind the names of their windows that a document with a smaller id has."""
+    spark = docs.sparkSession
+    ship(spark)
+    buckets = parts(spark)
+    # A text without an id has no marks and may be anywhere.
+    bucket = F.pmod(F.when(F.col("doc_id").isNull(), F.hash("text")).otherwise(F.hash("doc_id")), F.lit(buckets)).cast("int")
+    none = F.lit(None).cast("binary")
+    texts = docs.select(bucket.alias("bucket"), F.lit(TEXTS).alias("kind"), none.alias("names"), none.alias("docs"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carried)])
+
+    def with_marks(marks: DataFrame, rows: DataFrame) -> DataFrame:
+        empty = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns[4:]]
+        both = marks.select("bucket", F.lit(MARKS).alias("kind"), "names", "docs", *empty).union(rows)
+        return by_bucket(both).sortWithinPartitions("bucket", "kind")
+
+    sent = docs.select("doc_id", "text").mapInArrow(lambda it: seeded(it, length, buckets), SENT)
+    seeds = by_bucket(sent).sortWithinPartitions("bucket").mapInArrow(lambda it: shared_seeds(it, buckets), SENT)
+    grown = with_marks(seeds, texts.select("bucket", "kind", "names", "docs", "doc_id", "text")).mapInArrow(lambda it: extended(it, length, buckets), SENT)
+    marks = by_bucket(grown).sortWithinPartitions("bucket").mapInArrow(lambda it: repeats(it, buckets), SENT)
+    return with_marks(marks, texts)
+
+
+def repeated_spans(docs: DataFrame, length: int = 13) -> DataFrame:
+    """The maximal repeats of every document: doc_id, start (its first word, from 0), n_words, at least `length`.
+
+    A repeat is a longest stretch of which every window of `length` words also starts in a document with a smaller id.
+    See `remove_repeats` for the method and the defined results; a document without repeats has no row.
+    """
+    return matched(docs, length, ()).mapInArrow(lambda it: spans(it, length), "doc_id long, start long, n_words long")
+
+
 def remove_repeats(docs: DataFrame, length: int = 13, layout: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
     """Texts without repeated passages: doc_id, n_words, n_removed, kept_text, then the carried columns as carried_0, ...
 
     A word goes if a window of `length` consecutive words covers it whose sequence also starts in a document with a
     smaller doc_id; windows are judged on the input. What stays is joined by one space, or with `layout` keeps its own
     spacing. Seeds: every window has an anchor, the least name of its short word runs, so that equal windows meet at
-    equal anchors. Documents are joined on anchors; around each shared one the match is extended both ways, window by
-    window, to the whole repeat. Anchors and windows are joined in two steps, first inside a batch of documents, which
-    then sends one document for each, so a passage that very many documents share reaches a task at most once a batch,
-    and no pairs are made. Windows are told apart by 96 bits, those of a document by 64.
-
-    Defined results: a null text is an empty one without words; a text of fewer words than `length` stays; a null id is
-    neither smaller nor larger than another and keeps its words; rows with one id don't take from each other; an empty
-    table gives an empty one. Other columns are not read.
+    equal anchors (winnowing), and documents are joined on anchors. At each place of a shared anchor the match is
+    extended both ways, to every window that reaches it, and the extensions are joined by name; neighbouring windows
+    that match make a maximal repeat, and those are cut. Both joins settle inside a batch of documents first, which then
+    sends one document for each name, so a passage that very many documents share reaches a task at most once a batch,
+    and no pairs are made. Documents are dealt by a hash of their id, and a task holds the marks of its documents and
+    one batch of texts. Windows are told apart by 96 bits, those of a document by 64.
+
+    Defined results: a null text is an empty one without words; a text of fewer words than `length` stays; a very long
+    text is cut like any other; a null id is neither smaller nor larger than another and keeps its words; rows with one
+    id don't take from each other; an empty table gives an empty one. Columns that are not carried are not read, and a
+    carried one may have any name and type.
     """
-    ship(docs.sparkSession)
-    buckets = parts(docs.sparkSession)  # of names; of documents there are twice as many
-    bucket = F.coalesce(F.pmod(F.col("doc_id"), F.lit(2 * buckets)), F.lit(0)).cast("int").alias("bucket")
-    texts = docs.select(bucket, "doc_id", F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carried)])
     kept = "doc_id long, n_words long, n_removed long, kept_text string"
-    by_doc = texts.groupBy("bucket")
-    sent = docs.select("doc_id", "text").mapInArrow(lambda it: seeded(it, length, buckets), SENT)
-    seeds = by_bucket(sent).sortWithinPartitions("bucket").mapInArrow(lambda it: shared_seeds(it, buckets), SENT)
-    grown = by_doc.cogroup(seeds.groupBy("bucket")).applyInArrow(lambda a, b: extended(a, b, length, buckets), SENT)
-    marks = by_bucket(grown).sortWithinPartitions("bucket").mapInArrow(lambda it: repeats(it, buckets), SENT)
     out = T.StructType([*T.StructType.fromDDL(kept), *[T.StructField(f"carried_{i}", docs.schema[c].dataType) for i, c in enumerate(carried)]])
-    return by_doc.cogroup(marks.groupBy("bucket")).applyInArrow(lambda a, b: cut(a, b, length, layout), out)
+    return matched(docs, length, carried).mapInArrow(lambda it: cut(it, length, layout), out)

@@ -1,6 +1,8 @@
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.llm.substring import remove_repeats
+from tessera.llm.substring import doc_bucket, remove_repeats, repeated_spans
 from tests.llm import brute
 
 
@@ -39,3 +41,34 @@ def test_common_passage(spark):
     rows = [(i, f"a{i} b{i} {passage} c{i}") for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     assert found(remove_repeats(df, 13)) == brute.remove_repeats(rows, 13)
+
+
+def test_buckets_are_sparks_hash(spark):
+    ids = [0, 1, -1, 42, 2**62, -(2**63), 123456789012]
+    rows = spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", F.pmod(F.hash("doc_id"), F.lit(7)).alias("b")).collect()
+    assert [r.b for r in rows] == doc_bucket(np.array(ids), 7).tolist()
+
+
+def test_ids_in_steps_of_the_bucket_count(spark):
+    """Ids that are all equal modulo the number of buckets, in small batches and with many rows without an id."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(8 * i, f"a{i} {passage if i % 2 else ''} b{i}") for i in range(200)]
+    assert len(set(doc_bucket(np.array([d for d, _ in rows]), 8).tolist())) == 8
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.createDataFrame(rows + [(None, passage)] * 100, "doc_id long, text string").repartition(3)
+        out = remove_repeats(df, 13)
+        assert found(out) == brute.remove_repeats(rows, 13) and out.where("doc_id is null and n_removed = 0").count() == 100
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_spans_are_maximal(edges, known):
+    """Spans cover what is removed, and no span can be made longer."""
+    gone = {}
+    for r in repeated_spans(edges, 13).collect():
+        assert r.n_words >= 13
+        gone.setdefault(r.doc_id, []).append((r.start, r.start + r.n_words))
+    want = {d: (n, m) for d, (n, m, _) in brute.remove_repeats(known, 13).items() if m}
+    assert {d: len({i for a, b in v for i in range(a, b)}) for d, v in gone.items()} == {d: m for d, (_, m) in want.items()}
+    assert gone[12] == [(10, 80)] or gone[11] == [(40, 110)]
