@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import COMMON_WORDS, SLOTS, WORD_SLOTS
+from .quality_rules import CLASS_SHARES, COMMON_WORDS, LISTED, SLOTS
 
 #: Words of a text (fixed: the contract's white space).
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -44,27 +44,34 @@ def count_of(pattern: str, text: str = "t") -> str:
     return f"CAST(length(regexp_replace({text}, '{pattern}', '', 'g')) AS BIGINT)"
 
 
-def word_counts() -> str:
-    """For each of eight places the number of words that are the tongue's common word of that place."""
-    lists = " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in COMMON_WORDS.items())
-    common = f"(CASE tongue {lists} ELSE {COMMON_WORDS['en']!r} END)"
-    return ", ".join(f"CAST(len(list_filter(v, lambda x: x = {common}[{i + 1}])) AS BIGINT) AS word{i}" for i in range(8))
+def tongue_of(values: dict, other: object) -> str:
+    return "(CASE tongue " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + f" ELSE {other} END)"
 
 
-def js(slots: list[str], total: str) -> str:
+def hits() -> str:
+    """The numbers of words that are each of the tongue's common words."""
+    lists = tongue_of({k: str([*v]) for k, v in COMMON_WORDS.items()}, "[]")
+    return f"list_transform({lists}, lambda c: len(list_filter(v, lambda x: x = c))) AS hits"
+
+
+def js(pairs: list[tuple[str, str]]) -> str:
     parts = []
-    for k in slots:
-        p, q = f"(CAST({k} AS DOUBLE) / {total})", f"(CAST(ref_{k} AS DOUBLE) / ref_{total})"
+    for p, q in pairs:
         m = f"(({p} + {q}) / 2)"
         parts += [f"(CASE WHEN {p} > 0 THEN {p} * log2({p} / {m}) ELSE 0 END)", f"(CASE WHEN {q} > 0 THEN {q} * log2({q} / {m}) ELSE 0 END)"]
     return f"sqrt(greatest(0, ({' + '.join(parts)}) / 2))"
 
 
-def judged(rows: str, trusted: str) -> str:
-    slots = [*SLOTS, "word_chars", *WORD_SLOTS, "n_words"]
-    sums = ", ".join(f"sum({k}) AS ref_{k}" for k in slots)
-    return f"""SELECT s.*, CASE WHEN word_chars >= 300 AND ref_word_chars > 0 THEN {js(SLOTS, "word_chars")} END AS class_js, CASE WHEN n_words >= 60 AND ref_n_words > 0 THEN {js(WORD_SLOTS, "n_words")} END AS word_js
-    FROM {rows} s LEFT JOIN (SELECT tongue AS tongue_, {sums} FROM {trusted} GROUP BY tongue) r ON r.tongue_ = s.tongue"""
+def class_pairs() -> list[tuple[str, str]]:
+    held = {k: k for k in SLOTS} | {k: f"(CASE WHEN tongue = 'other' THEN 0 ELSE {k} END)" for k in ("upper", "wide")}
+    held["lower"] = "(CASE WHEN tongue = 'other' THEN lower + upper + wide ELSE lower END)"
+    return [(f"(CAST({held[k]} AS DOUBLE) / word_chars)", f"CAST({tongue_of({t: v[k] / 10_000 for t, v in CLASS_SHARES.items()}, 0)} AS DOUBLE)") for k in SLOTS]
+
+
+def word_pairs() -> list[tuple[str, str]]:
+    pairs = [(f"(CAST(hits[{i + 1}] AS DOUBLE) / n_words)", f"CAST({tongue_of({t: [*v.values()][i] / 10_000 for t, v in COMMON_WORDS.items()}, 0)} AS DOUBLE)") for i in range(LISTED)]
+    left = tongue_of({t: (10_000 - sum(v.values())) / 10_000 for t, v in COMMON_WORDS.items()}, 1)
+    return [*pairs, ("(CAST(n_words - list_sum(hits) AS DOUBLE) / n_words)", f"CAST({left} AS DOUBLE)")]
 
 
 QUALITY = rf"""
@@ -73,14 +80,13 @@ WITH b AS (SELECT doc_id, CASE WHEN lang IN ('en', 'fr', 'de', 'es') THEN lang E
      d AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM (SELECT doc_id, i, array_to_string(v[i:i + 4], ' ') AS k FROM (SELECT doc_id, v, unnest(generate_series(1, len(v) - 4)) AS i FROM b WHERE len(v) >= 5) q) z),
      c AS (SELECT doc_id, CAST(count(DISTINCT i + j) AS BIGINT) AS n FROM d JOIN (SELECT unnest(generate_series(0, 4)) AS j) z ON d.n > 1 GROUP BY doc_id),
      f AS (SELECT o.doc_id, tongue, CAST(len(v) AS BIGINT) AS n_words, {count_of(r"[\x20\x09-\x0D]+")} AS word_chars, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
-                  length(odd_text) AS odd, {count_of("[^A-Z]+", "odd_text")} AS upper, {count_of("[^0-9]+", "odd_text")} AS digit, {count_of("[^#*$%&|<>]+", "odd_text")} AS symbol, {count_of(r"[\x00-\x7F]+", "odd_text")} AS wide, {word_counts()}
+                  length(odd_text) AS odd, {count_of("[^A-Z]+", "odd_text")} AS upper, {count_of("[^0-9]+", "odd_text")} AS digit, {count_of("[^#*$%&|<>]+", "odd_text")} AS symbol, {count_of(r"[\x00-\x7F]+", "odd_text")} AS wide, {hits()}
            FROM o LEFT JOIN c ON c.doc_id = o.doc_id),
-     s AS (SELECT *, word_chars - odd AS lower, odd - upper - digit - symbol - wide AS mark, n_words - ({" + ".join(WORD_SLOTS[:-1])}) AS rest, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
-     one AS ({judged("s", "s")}),
-     two AS ({judged("s", "(SELECT * FROM one WHERE NOT base_failed AND coalesce(class_js, 0) <= 1.5 * 0.2 AND coalesce(word_js, 0) <= 0.8 * 0.25)")})
-SELECT doc_id, n_words, word_chars, symbol AS n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(class_js, 0) <= 0.2 AND coalesce(word_js, 0) <= 0.25 AS kept,
+     s AS (SELECT *, word_chars - odd AS lower, odd - upper - digit - symbol - wide AS mark, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
+     j AS (SELECT *, CASE WHEN word_chars >= 300 THEN {js(class_pairs())} END AS class_js, CASE WHEN n_words >= 100 AND tongue <> 'other' THEN {js(word_pairs())} END AS word_js FROM s)
+SELECT doc_id, n_words, word_chars, symbol AS n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(class_js, 0) <= 0.25 AND coalesce(word_js, 0) <= 0.31 AS kept,
        round(class_js, 6) AS class_js, round(word_js, 6) AS word_js
-FROM two"""
+FROM j"""
 
 MIXING = f"""
 WITH s AS (SELECT doc_id, source, CAST(len({WORDS.format("coalesce(text, '')")}) AS BIGINT) AS size, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
@@ -98,13 +104,17 @@ WITH s AS (SELECT doc_id, source, CAST(len({WORDS.format("coalesce(text, '')")})
            FROM s JOIN g ON s.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target, CAST(epochs * size + least(size, greatest(0, floor(target) - epochs * source_size - before)) AS BIGINT) AS taken FROM z"""
 
+#: CRC-32 as a fold over bytes, with the table of the reflected polynomial made by its rule.
 SHARDING = """
-WITH s AS (SELECT doc_id, source, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
-     f AS (SELECT *, CAST(2 * row_number() OVER (PARTITION BY source ORDER BY k, doc_id, size) - 1 AS DOUBLE) / CAST(2 * count(*) OVER (PARTITION BY source) AS DOUBLE) AS fraction FROM s),
-     p AS (SELECT *, row_number() OVER (ORDER BY fraction, source NULLS LAST, k, doc_id, size) - 1 AS place, count(*) OVER () AS n FROM f),
+WITH y AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc_of FROM (SELECT unnest(generate_series(0, 255)) AS i) q),
+     e AS (SELECT *, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: CAST('0x' || b AS BIGINT)) AS octets FROM documents),
+     s AS (SELECT doc_id, source, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+                  xor(list_reduce(list_concat([4294967295], octets), lambda c, b: xor(c >> 8, crc_of[1 + (xor(c, b) & 255)])), 4294967295) AS text_crc32 FROM e, y),
+     f AS (SELECT *, CAST(2 * row_number() OVER (PARTITION BY source ORDER BY k, doc_id, size, text_crc32) - 1 AS DOUBLE) / CAST(2 * count(*) OVER (PARTITION BY source) AS DOUBLE) AS fraction FROM s),
+     p AS (SELECT *, row_number() OVER (ORDER BY fraction, source NULLS LAST, k, doc_id, size, text_crc32) - 1 AS place, count(*) OVER () AS n FROM f),
      q AS (SELECT *, CAST(floor(n / 16) AS BIGINT) AS small, n % 16 AS large FROM p),
      d AS (SELECT *, CASE WHEN place < large * (small + 1) THEN CAST(floor(place / (small + 1)) AS BIGINT) ELSE large + CAST(floor((place - large * (small + 1)) / greatest(1, small)) AS BIGINT) END AS shard_ FROM q)
-SELECT doc_id, size, 'rows' AS law, CAST(shard_ AS INTEGER) AS shard, CASE WHEN shard_ < large THEN place - shard_ * (small + 1) ELSE place - large * (small + 1) - (shard_ - large) * small END AS slot, CAST(NULL AS INTEGER) AS grown_shard
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard_ AS INTEGER) AS shard, CASE WHEN shard_ < large THEN place - shard_ * (small + 1) ELSE place - large * (small + 1) - (shard_ - large) * small END AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM d"""
 
-ORACLES = {"op2_warc": WARC, "op3_near_duplicates": NEAR, "op4_substring_dedup": SUBSTRING, "op5_quality_rules": QUALITY, "op9_mixing": MIXING}
+ORACLES = {"op2_warc": WARC, "op3_near_duplicates": NEAR, "op4_substring_dedup": SUBSTRING, "op5_quality_rules": QUALITY, "op9_mixing": MIXING, "op10_sharding": SHARDING}

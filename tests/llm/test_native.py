@@ -46,6 +46,20 @@ def test_quality_equals_sql(name, request):
     assert same(out.collect(), *sql(df, QUALITY))
 
 
+def test_a_verdict_follows_from_the_document_alone(docs):
+    whole = {r.doc_id: r for r in judge(docs).collect()}
+    few = docs.where("doc_id % 7 = 3")
+    assert all(whole[r.doc_id] == r for r in judge(few).collect())
+
+
+def test_quality_by_language(spark):
+    text = " ".join("слово" + chr(0x430 + i % 32) + chr(0x430 + i // 32) for i in range(200))
+    rows = [(1, text, "ru"), (2, text, None), (3, text, "en"), (4, "#### $$$$ %%%% " * 40 + " ".join(str(i) for i in range(400)), "xx")]
+    out = {r.doc_id: r for r in judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert out[1].kept and out[2].kept and out[1].word_js is None
+    assert not out[3].kept and out[3].word_js > 0.3 and not out[4].kept
+
+
 def test_quality_keeps_clean_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = judge(docs).join(labels, "doc_id").where("not base_failed").groupBy("quality", "kept").count().collect()
@@ -75,7 +89,7 @@ def test_sharding(name, request):
     out = interleave(df, {"size": (F.octet_length(text) + 1).cast("long"), "crc": F.crc32(text.cast("binary"))}, 16).collect()
     assert len(out) == df.count()
     columns, rows = sql(df, SHARDING)
-    ours = [{"doc_id": r.doc_id, "size": r["size"], "law": "rows", "shard": r.shard, "slot": r.slot, "grown_shard": None} for r in out]
+    ours = [{"doc_id": r.doc_id, "size": r["size"], "text_crc32": r.crc, "law": "rows", "shard": r.shard, "slot": r.slot, "grown_shard": None} for r in out]
     assert same(ours, columns, rows)
     counts, slots, mixed = Counter(r.shard for r in out), defaultdict(set), defaultdict(Counter)
     for r in out:
@@ -88,6 +102,20 @@ def test_sharding(name, request):
     assert all(r.crc == crcs[r.doc_id] for r in out if r.doc_id in crcs)
 
 
+def test_many_small_sources(spark):
+    """Thousands of sources of one row, whose fractions all tie, and a third of the rows without an id."""
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("s"), F.when(F.col("id") < 5000, F.col("id")).otherwise(0)).alias("source"), F.lit("a b").alias("text"), F.lit(1).alias("size"))
+    out = interleave(rows, {"size": F.length("text").cast("long")}, 16).collect()
+    counts = Counter(r.shard for r in out)
+    assert len(out) == 6000 and set(counts.values()) == {375} and sorted((r.shard, r.slot) for r in out) == [(k, i) for k in range(16) for i in range(375)]
+    mixed = mix(rows, word_count(F.col("text"))).collect()
+    assert len(mixed) == 6000 and all(0 <= r.taken <= 4 for r in mixed)
+    goal, got = {r.source: r.target for r in mixed}, Counter()
+    for r in mixed:
+        got[r.source] += r.taken
+    assert all(got[s] == int(goal[s]) for s in goal)
+
+
 def test_empty(empty):
     assert judge(empty).count() == mix(empty, word_count(F.col("text"))).count() == interleave(empty, {"n": F.lit(1)}, 16).count() == 0
 

@@ -1,5 +1,6 @@
 """Fingerprints, archives, separators, packing, the classifier and the pipeline."""
 
+import functools
 import gzip
 import hashlib
 import random
@@ -115,12 +116,17 @@ def test_separators_of_texts(edges, empty, tmp_path):
     assert separators.count_tokens(separators.write_flat(empty, f"file://{tmp_path}/u", tokenizer_path(), 50256), f"file://{tmp_path}/u", 50256).count() == 0
 
 
+@functools.cache
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path())
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=80))
 def test_encoder_equals_tokenizers(text):
-    from tokenizers import Tokenizer
-
-    tool = Tokenizer.from_file(tokenizer_path())
+    tool = library()
     tool.encode_special_tokens = True
     assert encoder(tokenizer_path()).encode(text, added=False) == tool.encode(text, add_special_tokens=False).ids
 
@@ -131,9 +137,8 @@ SPECIAL = "<|endoftext|>"
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from([SPECIAL, SPECIAL[:-1], "<|", " ", "  ", "\n", "a", " b", "'s", "9", "é€😀"]), max_size=12).map("".join))
 def test_encoder_finds_added_tokens(text):
-    from tokenizers import Tokenizer
-
-    tool = Tokenizer.from_file(tokenizer_path())
+    tool = library()
+    tool.encode_special_tokens = False
     assert encoder(tokenizer_path()).encode(text) == tool.encode(text, add_special_tokens=False).ids
 
 
