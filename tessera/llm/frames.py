@@ -13,12 +13,18 @@ WORD = r"[^ \t-\r]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; a temporary one only where none is named."""
+    """The folder that all executors share, as the session names it.
+
+    Where none is named a temporary one serves a session on one machine; on a cluster that is an error, as executors
+    would not see each other's files.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -40,6 +46,17 @@ def by_bucket(df: DataFrame, bucket: str = "bucket") -> DataFrame:
     return df.repartitionById(n, F.pmod(F.col(bucket), F.lit(n)).cast("int"))
 
 
+def in_order(df: DataFrame, *order: Column | str) -> DataFrame:
+    """The rows in one order over all tasks: `part`, and from 0 in each part `nth`. Settled, so that both stay.
+
+    Ranges of the order go to tasks, whatever the values' shares: only rows that agree in the whole order share a task.
+    """
+    n = parts(df.sparkSession)
+    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    at = settle(dealt)
+    return at.withColumns({"part": F.shiftright("_at", 33).cast("int"), "nth": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_at")
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
