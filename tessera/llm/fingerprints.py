@@ -183,22 +183,26 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     The next document is that with the next smaller id, after the smallest the one with the largest. Texts move once:
     ranges of ids of nearly equal counts go to tasks, each with a copy of the row that follows its last.
 
-    Defined results: a null text is empty, with an empty fingerprint, and like another empty one only; a null id comes
-    last; rows with one id follow a hash of the text; without any id in a part, its last row is edited by itself; an
-    empty table gives an empty one. Other columns are not read.
+    Defined results: a null text is empty, with an empty fingerprint, and like another empty one only; a very long text
+    is parsed whole; rows with one id follow a hash of the text; rows without an id are in parts of their own, by a hash
+    of the text, each followed by the next one there and the last by itself; an empty table gives an empty one. Other
+    columns are not read.
     """
     spark = docs.sparkSession
     ship(spark)
     total = docs.count()
-    bounds = id_ranges(docs.select("doc_id"), "doc_id", max(64, total // (4 * parts(spark)) + 1))
+    most = max(64, total // (4 * parts(spark)) + 1)
+    bounds = id_ranges(docs.select("doc_id"), "doc_id", most)
+    loose = -(-(total - sum(n for *_, n in bounds)) // most)  # parts of the rows without an id, by a hash of the text
     rows = docs.select("doc_id", "text")
+    own, follower = F.lit(0), F.lit(None).cast("int")
     if bounds:
         last = F.array(*[F.lit(high).cast("long") for _, high, _ in bounds])  # followed by the range above, the last by the first
         own = range_of("doc_id", bounds)
         follower = F.when(F.array_contains(last, F.col("doc_id")), F.pmod(own + 1, F.lit(len(bounds))).cast("int"))
-        rows = rows.withColumn("own", own).withColumn("follower", follower)
-    else:
-        rows = rows.withColumn("own", F.lit(0)).withColumn("follower", F.lit(None).cast("int"))
+    if loose:
+        own = F.when(F.col("doc_id").isNull(), len(bounds) + F.pmod(F.xxhash64("text"), F.lit(loose)).cast("int")).otherwise(own)
+    rows = rows.withColumn("own", own).withColumn("follower", follower)
     places = F.array_compact(F.array(F.struct(F.col("own").alias("bucket"), F.lit(False).alias("ghost")), F.when(F.col("follower").isNotNull(), F.struct(F.col("follower").alias("bucket"), F.lit(True).alias("ghost")))))
     dealt = rows.select(F.explode(places).alias("p"), "doc_id", "text").select("p.bucket", "p.ghost", "doc_id", "text")
     order = ["bucket", "ghost", F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]

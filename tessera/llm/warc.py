@@ -22,7 +22,6 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SPACE_ID = uuid.uuid5(uuid.NAMESPACE_URL, "urn:pages")
 MANIFEST = "bucket long, file string, records long, bytes long, sha1 string"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, position long"
-SALTS = 16
 
 
 def digest(data: bytes) -> str:
@@ -117,25 +116,31 @@ def write_archive(pages: DataFrame, folder: str, least_revisit: int = 0, most: i
     range starts a file and rolls to the next before `most` compressed bytes. Headers and digests are made anew from
     the rows, each record is a gzip member, and equal tables and settings give equal files. Files get their names when
     whole; then manifest.json, renamed last, commits the archive. Payloads move once; which pages are revisits is found
-    on digests, counted before they move, and hot digests are salted.
+    on digests, counted before they move, by a merge join that splits hot digests.
 
-    Defined results: a null html is an empty payload; a null url has no target; a null page_id comes first and is a
-    response only if no equal payload has an id; rows that agree in page_id and payload are of one type; an empty table
-    makes an archive without files. Other columns are not read.
+    Defined results: a null html is an empty payload; a very long one is one record, and a file of its own if it is
+    larger than `most`; a null url has no target; pages without a page_id come first, in files of their own by a hash of
+    the payload, and are responses only if no equal payload has an id; rows that agree in page_id and payload are of one
+    type; an empty table makes an archive without files. Other columns are not read.
     """
     spark = pages.sparkSession
     ship(spark)
     html = F.coalesce(F.col("html"), F.lit(""))
     light = settle(pages.select("page_id", F.sha2(html, 256).alias("key"), F.octet_length(html).alias("size")))
     groups = light.where(F.col("size") >= least_revisit).groupBy("key").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null")
-    salted = groups.select("key", "refers_to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    refs = light.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"])
+    refs = light.join(groups.select("key", "refers_to").hint("merge"), "key")  # a merge join, in which hot keys are split
     refs = refs.where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "key", "refers_to").distinct()
-    bounds = id_ranges(light, "page_id", max(64, light.count() // (2 * parts(spark)) + 1))
-    bucket = F.coalesce(range_of("page_id", bounds), F.lit(0)) if bounds else F.lit(0)
+    total, known = light.agg(F.count(F.lit(1)), F.count("page_id")).first()
+    most_rows = max(64, total // (2 * parts(spark)) + 1)
+    bounds = id_ranges(light, "page_id", most_rows)
+    loose = -(-(total - known) // most_rows)  # files of pages without an id, by a hash of the payload
+    bucket = range_of("page_id", bounds) + loose if bounds else F.lit(0)
+    if loose:
+        bucket = F.when(F.col("page_id").isNull(), F.pmod(F.hash("key"), F.lit(loose))).otherwise(bucket)
     none = F.lit(None).cast("string")
     rows = refs.select(bucket.alias("bucket"), "page_id", F.lit(0).alias("kind"), "key", "refers_to", none.alias("url"), none.alias("html"))
-    rows = rows.union(pages.select(bucket, "page_id", F.lit(1), none, F.lit(None).cast("long"), "url", "html"))
+    every = pages.select("page_id", "url", "html", F.sha2(html, 256).alias("key")) if loose else pages.select("page_id", "url", "html")
+    rows = rows.union(every.select(bucket, "page_id", F.lit(1), none, F.lit(None).cast("long"), "url", "html"))
     order = ["bucket", F.col("page_id").asc_nulls_first(), "kind", F.xxhash64("url", "html")]
     manifest = settle(by_bucket(rows).sortWithinPartitions(*order).mapInArrow(lambda it: written(it, folder, most, date, level), MANIFEST))
     final = Atomic(f"{folder}/manifest.json")
@@ -145,8 +150,11 @@ def write_archive(pages: DataFrame, folder: str, least_revisit: int = 0, most: i
     return manifest
 
 
-def records_of(stream, file: str, block: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes, int]]:
-    """Header fields, block and place of every record of a file of gzip members."""
+def records_of(stream, file: str, block: int = 1 << 13) -> Iterator[tuple[dict[str, str], bytes, int]]:
+    """Header fields, block and place of every record of a file of gzip members.
+
+    Bytes are handed to the decoder in small blocks: what is left of one behind a record is copied for the next.
+    """
     rest, offset = b"", 0
     while True:
         unpack, data, start = zlib.decompressobj(wbits=31), [], offset
@@ -171,7 +179,7 @@ def read_back(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Rec
     for batch in batches:
         for file in batch.column(0).to_pylist():
             rows = []
-            with files.open_input_stream(f"{path}/{file}", compression=None) as stream:
+            with files.open_input_stream(f"{path}/{file}", compression=None, buffer_size=1 << 20) as stream:
                 for fields, block, at in records_of(stream, file):
                     if fields["WARC-Type"] not in ("response", "revisit"):
                         continue
