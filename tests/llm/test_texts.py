@@ -19,7 +19,7 @@ from tessera.llm.fingerprints import compare_edits, fingerprint, likeness, sketc
 from tessera.llm.packing import best_fit, pack, token_pieces
 from tessera.llm.queries import tokenizer_path
 from tessera.llm.tokens import encoder
-from tests.llm import brute
+from tests.llm import brute, conftest
 from tests.llm.conftest import EDGES
 
 
@@ -297,3 +297,30 @@ def test_pipeline_edges(spark, edges, empty, tmp_path):
         assert stage(spark, empty, str(tmp_path)).count() == 0
     kept = [r.doc_id for r in C.near_dup_stage(spark, edges, "").collect()]
     assert kept.count(7) == 1 and 8 not in kept and kept.count(None) == 2
+
+
+def test_stages_with_clashing_columns_and_shared_ids(spark, tmp_path):
+    """Columns named like the stages' own, a map, and ids that several rows share or lack: no text is lost to another's."""
+    import corpus_pipeline as C
+
+    a, b, c = (conftest.words(80, k) for k in (21, 22, 23))
+    rows = [(1, a), (1, b), (1, a), (2, c), (3, b), (None, c), (None, conftest.words(80, 24)), (None, None), (None, None), (4, ""), (5, a + " tail")]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t or ""), 1, "r", 2, "n", {"k": 1}, 3, 4) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _rows int, row string, own int, given string, names map<string,int>, carried_0 int, nth int")
+    out = C.near_dup_stage(spark, df, "")
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (2, c), (None, rows[6][1]), (None, None), (4, "")], key=str)
+    for stage in (C.passage_stage, C.mixing_stage):
+        after = stage(spark, df, "")
+        assert after.columns == df.columns and after.count() >= 0
+    assert C.packing_stage(spark, df, "").count() == len(rows)
+
+
+def test_pipeline_leaves_no_stage_behind(spark):
+    import corpus_pipeline as C
+    from tessera.llm.frames import shared_dir
+    from pyarrow import fs
+
+    C.run(spark, "/root/testdata/sf0.001").count()
+    files, path = fs.FileSystem.from_uri(shared_dir(spark))
+    assert not [x.path for x in files.get_file_info(fs.FileSelector(path)) if "pipeline-" in x.path]
