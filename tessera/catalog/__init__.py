@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.fixtures import Slides
 
-from . import conversions, directories, files, geometry, layouts, pixels, rules, texts  # noqa: F401  each registers its queries
+from . import conversions, directories, files, gates, geometry, layouts, pixels, rules, texts  # noqa: F401  each registers its queries
 from .pixels import crop_halve_hash
 from .registry import QUERIES, SQL
 

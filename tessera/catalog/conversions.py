@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,11 +11,11 @@ from pyspark.sql import types as T
 from tessera.codecs import health
 from tessera.fixtures import Slides
 from tessera.plans import convert as C
+from tessera.plans import table as planner
 from tessera.session import scratch
-from tessera.sources import containers, deepzoom, files, tiff
+from tessera.sources import containers, deepzoom, dicom, slides, tiff
 from tessera.streaming.strips import pyramid_stream
 
-from .pixels import HALF, HEIGHT, WIDTH, raster
 from .registry import query
 
 
@@ -23,81 +25,174 @@ def codec_health(s: Slides) -> DataFrame:
     return s.spark.createDataFrame(health(), "codec string, status string, nbytes int")
 
 
-def encoded_tiles(s: Slides, to: str = "dzi", codec: str = "png", tile: int = 32) -> tuple[DataFrame, C.Plan]:
-    source = C.Source("generic-tiff", WIDTH, HEIGHT, tile, "none", ((WIDTH, HEIGHT),))
-    p = C.plan(C.Request(to=to, codec=codec, tile=tile), source)
-    return C.execute(p, raster(s)), p
+def whole_image(s: Slides) -> tuple[DataFrame, int, int]:
+    """All vectors as one image of 64 columns, and its sides."""
+    pixels = s["v_pixels"]
+    width, height = pixels.agg(F.max("x") + 1, F.max("y") + 1).first()
+    return pixels, width or 0, height or 0
 
 
-@query(None)
-def dzi_write_roundtrip(s: Slides) -> DataFrame:
-    """Tiles written as a Deep Zoom folder and read back: place, bytes and hash of each."""
-    deepzoom.register(s.spark)
-    tiles, p = encoded_tiles(s)
-    target = f"{scratch(s.spark, 'dzi')}/slide"
-    tiles.write.format("deepzoom").mode("append").option("format", "png").option("tileSize", p.tile).option("width", p.width).option("height", p.height).save(target)
-    back = s.spark.read.format("deepzoom").load(target)
-    return back.select("level", "col", "row_", F.octet_length("bytes").alias("nbytes"), F.sha2("bytes", 256).alias("sha256"))
+def planned(s: Slides, to: str, codec: str, tile: int = 32) -> tuple[DataFrame, C.Plan, DataFrame]:
+    """The image's tiles for a container, the plan, and the table of its levels."""
+    pixels, width, height = whole_image(s)
+    source = C.Source("generic-tiff", width, height, tile, "none", ((width, height),))
+    p = C.plan(C.Request(to=to, codec=codec, tile=tile), source) if codec != "none" else C.Plan("engine", to, codec, {}, 1, tile, width, height, 0.5, 20.0)
+    rows = [(i, w, h, p.tile, -(-w // p.tile), -(-h // p.tile)) for i, (_, w, h) in enumerate(C.output_levels(p))]
+    return C.execute(p, pixels), p, s.spark.createDataFrame(rows, "level int, width int, height int, tile int, cols int, rows_ int")
 
 
-@query(None)
-def tiff_write_directories(s: Slides) -> DataFrame:
-    """Tiles written as a cloud-optimised TIFF and its directories read back."""
-    tiles, p = encoded_tiles(s)
-    levels = level_frame(s, p)
-    target = f"{scratch(s.spark, 'tiff')}/slide.tiff"
-    containers.write_tiff(tiles, levels, target, "none", kind="cog-wsi", order="hilbert", mpp=0.5)
-    return tiff.read_directories(s.spark, target).drop("path")
+def decoded(tiles: DataFrame, codec: str) -> DataFrame:
+    """Tiles of one of the codecs that tell their own sides, as hashes of their RGB rows: level, col, row_, sha256."""
 
+    def run(batches):
+        import hashlib
 
-def level_frame(s: Slides, p: C.Plan) -> DataFrame:
-    rows = [(i, w, h, p.tile, -(-w // p.tile), -(-h // p.tile)) for i, (_, w, h) in enumerate(C.output_levels(p))]
-    return s.spark.createDataFrame(rows, "level int, width int, height int, tile int, cols int, rows_ int")
+        import pyarrow as pa
 
+        from tessera.codecs import decode
 
-@query(None)
-def szi_write(s: Slides) -> DataFrame:
-    """The members of a zipped Deep Zoom pyramid."""
-    import io
-    import zipfile
+        for batch in batches:
+            found = [hashlib.sha256(decode(codec, x.as_buffer().to_pybytes(), 0, 0).tobytes()).hexdigest() for x in batch.column(3)]
+            yield pa.record_batch([*batch.columns[:3], pa.array(found)], names=["level", "col", "row_", "sha256"])
 
-    tiles, p = encoded_tiles(s, "szi")
-    target = f"{scratch(s.spark, 'szi')}/slide.szi"
-    containers.write_szi(tiles, target, "slide", p.tile, 0, "png", p.width, p.height, "<image/>")
-    with zipfile.ZipFile(io.BytesIO(files.get(target))) as z:
-        rows = [(i.filename, i.file_size, i.CRC) for i in z.infolist()]
-    return s.spark.createDataFrame(rows, "name string, nbytes long, crc long")
+    return tiles.select("level", "col", "row_", "bytes").mapInArrow(run, "level int, col int, row_ int, sha256 string")
 
 
-@query(None)
+#: Levels of the image of 64 columns by halving, with its sides; enough of them for 2 ** 20 rows.
+DEEP = 21
+HALVED = """SELECT CAST(floor(x / 2) AS BIGINT) AS x, CAST(floor(y / 2) AS BIGINT) AS y,
+  CAST(floor(sum(r * wt) / 4) AS INTEGER) AS r, CAST(floor(sum(g * wt) / 4) AS INTEGER) AS g, CAST(floor(sum(b * wt) / 4) AS INTEGER) AS b,
+  max(CAST(ceil(width / 2) AS BIGINT)) AS width, max(CAST(ceil(height / 2) AS BIGINT)) AS height
+FROM (SELECT *, (CASE WHEN x = width - 1 AND width % 2 = 1 THEN 2 ELSE 1 END) * (CASE WHEN y = height - 1 AND height % 2 = 1 THEN 2 ELSE 1 END) AS wt FROM {t} WHERE greatest(width, height) > {least}) q GROUP BY 1, 2"""
+SIDES = "(SELECT max(x) + 1 AS width, max(y) + 1 AS height FROM v_pixels)"
+OCTAVES = f"l0 AS (SELECT v_pixels.*, z.width, z.height FROM v_pixels, {SIDES} z), " + ", ".join(f"l{k + 1} AS ({HALVED.format(t=f'l{k}', least=1)})" for k in range(DEEP - 1))
+EVERY = "every AS (" + " UNION ALL ".join(f"SELECT {k} AS octave, * FROM l{k}" for k in range(DEEP)) + ")"
+ZOOMED = f"""
+WITH {OCTAVES}, {EVERY}, top AS (SELECT max(octave) AS top FROM every), c AS (SELECT CAST(i AS BIGINT) AS i FROM (SELECT unnest(generate_series(0, (SELECT CAST(floor(max(y) / 32) AS BIGINT) FROM v_pixels))) AS i) z),
+t AS (SELECT octave, cx.i AS col, cy.i AS row_, x, y, r, g, b FROM every JOIN c cx ON x >= cx.i * 32 - 1 AND x < cx.i * 32 + 33 AND cx.i <= floor((width - 1) / 32) JOIN c cy ON y >= cy.i * 32 - 1 AND y < cy.i * 32 + 33 AND cy.i <= floor((height - 1) / 32)),
+h AS (SELECT octave, col, row_, sha256(unhex(string_agg(printf('%02x%02x%02x', r, g, b), '' ORDER BY y, x))) AS sha256 FROM t GROUP BY ALL)"""
+
+
+@query(f"{ZOOMED} SELECT CAST(top - octave AS INTEGER) AS level, CAST(col AS INTEGER) AS col, CAST(row_ AS INTEGER) AS row_, sha256 FROM h, top")
+def dzi_write_roundtrip(s: Slides) -> DataFrame:
+    """Tiles written as a Deep Zoom folder, from one pixel to the whole image, and read back: place and pixels of each."""
+    deepzoom.register(s.spark)
+    tiles, p, _ = planned(s, "dzi", "png")
+    target = f"{scratch(s.spark, 'dzi')}/slide"
+    tiles.write.format("deepzoom").mode("append").option("format", "png").option("tileSize", p.tile).option("overlap", p.overlap).option("width", p.width).option("height", p.height).save(target)
+    return decoded(s.spark.read.format("deepzoom").load(target), "png")
+
+
+@query(f"{ZOOMED} SELECT 'slide/slide_files/' || (top - octave) || '/' || col || '_' || row_ || '.png' AS name, sha256 FROM h, top")
+def szi_write(s: Slides) -> DataFrame:
+    """The tiles of a zipped Deep Zoom pyramid, read back from the zip by their places in it."""
+    tiles, p, _ = planned(s, "szi", "png")
+    target = f"{scratch(s.spark, 'szi')}/slide.szi"
+    containers.write_szi(tiles, target, "slide", p.tile, p.overlap, "png", p.width, p.height, "<image/>")
+    slide = slides.open_slide(target)
+    top = len(slide.levels) - 1
+    name = F.format_string("slide/slide_files/%d/%d_%d.png", top - F.col("level"), "col", "row_")
+    return decoded(slides.read_tiles(s.spark, slide), "png").select(name.alias("name"), "sha256")
+
+
+#: The two levels of 64 and 32 columns that a container of 32-pixel tiles has.
+LEVELS = f"""SELECT * FROM (SELECT 0 AS ifd, width, height FROM {SIDES} z UNION ALL SELECT 1, CAST(ceil(width / 2) AS BIGINT), CAST(ceil(height / 2) AS BIGINT) FROM {SIDES} z) v"""
+KINDS = ("tiff", "svs", "ome-tiff", "cog-wsi")
+
+
+def written(s: Slides, kind: str) -> str:
+    """The image as a container of uncompressed tiles; where it is."""
+    tiles, p, levels = planned(s, kind, "none")
+    folder = scratch(s.spark, "slides")
+    if kind == "dicom":
+        dicom.write_series(tiles, levels, f"{folder}/{kind}", "none", mpp=0.5)
+        return f"{folder}/{kind}"
+    text = "Aperio Image" if kind == "svs" else "<OME/>" if kind == "ome-tiff" else ""
+    containers.write_tiff(tiles, levels, f"{folder}/{kind}.tiff", "none", kind=kind, order="hilbert" if kind == "cog-wsi" else "row-major", mpp=0.5, description=text)
+    return f"{folder}/{kind}.tiff"
+
+
+@query(f"""
+SELECT k.kind, l.ifd, CASE WHEN k.kind = 'ome-tiff' AND l.ifd > 0 THEN 0 END AS parent, l.width, l.height, CAST(32 AS BIGINT) AS tile_w, CAST(32 AS BIGINT) AS tile_h, 'none' AS compression, CAST(2 AS BIGINT) AS photometric, k.kind = 'cog-wsi' AS has_private,
+       CASE WHEN l.ifd = 0 AND k.kind = 'svs' THEN 'Aperio Image' WHEN l.ifd = 0 AND k.kind = 'ome-tiff' THEN '<OME/>' END AS description
+FROM ({LEVELS}) l JOIN (VALUES ('tiff'), ('svs'), ('ome-tiff'), ('cog-wsi')) k(kind) ON true""")
+def tiff_write_directories(s: Slides) -> DataFrame:
+    """The directories of four kinds of TIFF files, read back."""
+    found = [tiff.read_directories(s.spark, written(s, kind)).drop("path", "ifd_offset").withColumn("kind", F.lit(kind)) for kind in KINDS]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(f"SELECT k.kind, CAST(count(*) AS BIGINT) AS n_ifds, CAST(sum(CASE WHEN kind = 'cog-wsi' THEN 1 ELSE 0 END) AS BIGINT) AS n_tagged, kind = 'cog-wsi' AS has_tags FROM ({LEVELS}) l JOIN (VALUES ('tiff'), ('cog-wsi')) k(kind) ON true GROUP BY k.kind")
+def has_wsi_tags(s: Slides) -> DataFrame:
+    """Whether a file's directories have private tags, read from the files."""
+    found = [tiff.read_directories(s.spark, written(s, kind)).withColumn("kind", F.lit(kind)) for kind in ("tiff", "cog-wsi")]
+    return reduce(DataFrame.unionByName, found).groupBy("kind").agg(F.count(F.lit(1)).alias("n_ifds"), F.count_if("has_private").alias("n_tagged"), F.bool_or("has_private").alias("has_tags"))
+
+
+@query(f"""
+SELECT l.ifd, t.tag, t.name AS tag_name, t.type AS type_name, CAST(t.n AS BIGINT) AS n,
+       CASE t.tag WHEN 256 THEN '[' || width || ']' WHEN 257 THEN '[' || height || ']' WHEN 258 THEN '[8, 8, 8]' WHEN 259 THEN '[1]' WHEN 262 THEN '[2]' WHEN 277 THEN '[3]' WHEN 322 THEN '[32]' WHEN 323 THEN '[32]' WHEN 305 THEN '"tessera"' WHEN 65080 THEN '"pyramid"'
+         WHEN 65081 THEN '[' || l.ifd || ']' WHEN 65082 THEN '[2]' END AS value
+FROM ({LEVELS}) l JOIN (VALUES (256, 'ImageWidth', 'LONG', 1), (257, 'ImageLength', 'LONG', 1), (258, 'BitsPerSample', 'SHORT', 3), (259, 'Compression', 'SHORT', 1), (262, 'PhotometricInterpretation', 'SHORT', 1), (277, 'SamplesPerPixel', 'SHORT', 1),
+  (305, 'Software', 'ASCII', 8), (322, 'TileWidth', 'LONG', 1), (323, 'TileLength', 'LONG', 1), (65080, 'WSIImageType', 'ASCII', 8), (65081, 'WSILevelIndex', 'LONG', 1), (65082, 'WSILevelCount', 'LONG', 1)) t(tag, name, type, n) ON true""")
+def typed_tag_values(s: Slides) -> DataFrame:
+    """Tags of a cloud-optimised file by number, name, type and decoded value."""
+    rows = tiff.read_entries(s.spark, written(s, "cog-wsi"))
+    return rows.where(F.col("tag").isin(256, 257, 258, 259, 262, 277, 305, 322, 323, 65080, 65081, 65082)).select("ifd", "tag", "tag_name", "type_name", "n", "value")
+
+
+TILE_BYTES = f"""
+WITH l0 AS (SELECT v_pixels.*, z.width, z.height FROM v_pixels, {SIDES} z), l1 AS ({HALVED.format(t="l0", least=1)}),
+every AS (SELECT 0 AS level, * FROM l0 UNION ALL SELECT 1, * FROM l1), dims AS (SELECT level, max(width) AS width, max(height) AS height FROM every GROUP BY level),
+cx AS (SELECT CAST(i AS BIGINT) AS i FROM (SELECT unnest(generate_series(0, 63)) AS i) z), cy AS (SELECT CAST(i AS BIGINT) AS i FROM (SELECT unnest(generate_series(0, (SELECT max(y) + 32 FROM v_pixels))) AS i) z),
+p AS (SELECT d.level, cx.i AS x, cy.i AS y, r, g, b FROM dims d JOIN cx ON cx.i < ceil(d.width / 32) * 32 JOIN cy ON cy.i < ceil(d.height / 32) * 32 JOIN every e ON e.level = d.level AND e.x = least(cx.i, d.width - 1) AND e.y = least(cy.i, d.height - 1)),
+h AS (SELECT level, CAST(floor(x / 32) AS INTEGER) AS col, CAST(floor(y / 32) AS INTEGER) AS row_, sha256(unhex(string_agg(printf('%02x%02x%02x', r, g, b), '' ORDER BY y, x))) AS sha256 FROM p GROUP BY ALL)"""
+
+
+@query(f"{TILE_BYTES} SELECT k.kind, h.* FROM h JOIN (VALUES ('tiff'), ('svs'), ('ome-tiff'), ('cog-wsi'), ('dicom')) k(kind) ON true")
+def slide_tiles_roundtrip(s: Slides) -> DataFrame:
+    """The tiles of five kinds of slides, written and read back through the slide source by ranges of their files."""
+    slides.register(s.spark)
+    found = []
+    for kind in (*KINDS, "dicom"):
+        tiles = s.spark.read.format("slide").load(written(s, kind))
+        found.append(tiles.select(F.lit(kind).alias("kind"), "level", "col", "row_", F.sha2("bytes", 256).alias("sha256")))
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(f"""
+SELECT k.kind, CASE k.kind WHEN 'tiff' THEN 'generic-tiff' ELSE k.kind END AS format, l.ifd AS level, l.width, l.height, 'none' AS compression FROM ({LEVELS}) l JOIN (VALUES ('tiff'), ('svs'), ('ome-tiff'), ('cog-wsi'), ('dicom')) k(kind) ON true""")
+def slide_levels_roundtrip(s: Slides) -> DataFrame:
+    """The format and the levels of five kinds of slides, as the slide source tells them."""
+    slides.register(s.spark)
+    found = []
+    for kind in (*KINDS, "dicom"):
+        path = written(s, kind)
+        form = s.spark.read.format("slide").option("table", "slides").load(path).select("format")
+        levels = s.spark.read.format("slide").option("table", "levels").load(path)
+        found.append(levels.crossJoin(F.broadcast(form)).select(F.lit(kind).alias("kind"), "format", "level", F.col("width").cast("bigint").alias("width"), F.col("height").cast("bigint").alias("height"), "compression"))
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("""
+WITH t AS (SELECT s.*, CASE WHEN slide_id % 2 = 1 THEN 2 ELSE 1 END AS factor FROM v_slides s),
+     o AS (SELECT slide_id, bool_and(kw = kh AND kw >= 0 AND abs(ceil(w0 / pow(2, kw)) - width) <= 2 AND abs(ceil(h0 / pow(2, kw)) - height) <= 2) AND count(DISTINCT kw) = count(*) AS clean, list(kw) AS octaves FROM v_octaves GROUP BY slide_id),
+     c AS (SELECT t.*, k.container, o.clean, o.octaves,
+                  CASE k.container WHEN 'tiff' THEN compression IN ('jpeg', 'jpeg2000', 'htj2k', 'avif', 'webp', 'jpegxl') WHEN 'svs' THEN compression IN ('jpeg', 'jpeg2000', 'htj2k', 'avif', 'webp', 'jpegxl') ELSE compression IN ('jpeg', 'png') END AS holds,
+                  format IN ('svs', 'philips-tiff', 'ome-tiff', 'bif', 'ife', 'generic-tiff', 'cog-wsi', 'dicom', 'szi') AS tiled
+           FROM t JOIN o ON o.slide_id = t.slide_id JOIN (VALUES ('tiff'), ('svs'), ('dzi')) k(container) ON true),
+     d AS (SELECT *, CASE WHEN holds THEN compression WHEN container = 'dzi' THEN 'png' ELSE 'jpeg' END AS codec FROM c),
+     e AS (SELECT *, container = 'svs' AND codec NOT IN ('jpeg', 'jpeg2000') AS refused,
+                  tiled AND factor = 1 AND (container = 'tiff' AND compression IN ('jpeg', 'jpeg2000', 'htj2k', 'avif', 'webp', 'jpegxl') OR container = 'svs' AND compression IN ('jpeg', 'jpeg2000')) AS copied,
+                  clean AND tiled AND list_contains(octaves, factor - 1) AS by_octaves FROM d)
+SELECT slide_id, container AS target, CASE WHEN refused THEN 'refused' WHEN copied THEN 'copy' WHEN by_octaves THEN 'octaves' ELSE 'engine' END AS how, codec, CAST(floor(width / factor) AS BIGINT) AS width, CAST(floor(height / factor) AS BIGINT) AS height, mpp * factor AS mpp FROM e""")
 def convert_plans(s: Slides) -> DataFrame:
-    """The plan of every slide of the first thousand parts' ids for three targets, or why there is none."""
+    """How every slide goes to three targets, odd ones reduced by 2, or that it is refused."""
+    odd = F.when(F.col("slide_id") % 2 == 1, 2).otherwise(1)
+    return planner.planned(s["v_slides"].withColumn("factor", odd), s["v_octaves"], ("tiff", "svs", "dzi"))
 
-    def planned(batches):
-        import pandas as pd
 
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                source = C.Source(r.format, r.width, r.height, r.tile, r.compression, tuple((int(a), int(b)) for a, b in zip(r.ws, r.hs, strict=True)), r.magnification, r.mpp)
-                for to in ("tiff", "svs", "dzi"):
-                    try:
-                        p = C.plan(C.Request(to=to, factor=2 if r.slide_id % 2 else 1), source)
-                        rows.append((r.slide_id, to, p.how, p.codec, p.width, p.height, p.mpp))
-                    except C.Refused as why:
-                        rows.append((r.slide_id, to, "refused", str(why)[:60], 0, 0, 0.0))
-            yield pd.DataFrame(rows, columns=["slide_id", "target", "how", "codec", "width", "height", "mpp"])
-
-    from tessera.shipping import ship
-
-    ship(s.spark)
-    sides = s["v_levels"].groupBy("slide_id").agg(F.array_sort(F.collect_list(F.struct("level", "width", "height"))).alias("l"))
-    sides = sides.select("slide_id", F.col("l.width").alias("ws"), F.col("l.height").alias("hs"))
-    rows = s["v_slides"].join(sides, "slide_id").select("slide_id", "format", "width", "height", "tile", "compression", "ws", "hs", "magnification", "mpp")
-    return rows.mapInPandas(planned, "slide_id long, target string, how string, codec string, width long, height long, mpp double")
-
-
-STREAMED = f"WITH img AS (SELECT * FROM v_pixels), l1 AS ({HALF.format(w=64, h=10**9, t='img')}), l2 AS ({HALF.format(w=32, h=10**9, t='l1')}) SELECT CAST(floor(y / 2) AS BIGINT) AS band, 1 AS level, * FROM l1 UNION ALL SELECT y, 2, * FROM l2"
+STREAMED = f"WITH img AS (SELECT *, 64 AS width, 1000000000 AS height FROM v_pixels), l1 AS ({HALVED.format(t='img', least=1)}), l2 AS ({HALVED.format(t='l1', least=1)}) SELECT CAST(floor(y / 2) AS BIGINT) AS band, 1 AS level, x, y, r, g, b FROM l1 UNION ALL SELECT y, 2, x, y, r, g, b FROM l2"
 
 
 @query(STREAMED)

@@ -28,12 +28,14 @@ def locate_associated(s: Slides) -> DataFrame:
     return D.locate(s["v_associated"], s["v_ifds"])
 
 
-@query("SELECT slide_id, bool_or(ifd_index >= 100 OR width % 3 = 0) AS has_tags, CAST(sum(CASE WHEN ifd_index >= 100 THEN 1 ELSE 0 END) AS BIGINT) AS n_assoc FROM v_ifds GROUP BY slide_id")
-def has_wsi_tags(s: Slides) -> DataFrame:
-    """Whether a slide has any private tag: here on directories of side images and on every third width."""
-    tagged = F.when(F.col("ifd_index") >= 100, F.lit("assoc")), F.when(F.col("width") % 3 == 0, F.lit("level"))
-    rows = s["v_ifds"].select("slide_id", tagged[0].alias("a"), tagged[1].alias("b"))
-    return rows.groupBy("slide_id").agg(F.bool_or(F.col("a").isNotNull() | F.col("b").isNotNull()).alias("has_tags"), F.count("a").alias("n_assoc"))
+NAMED_TAGS = ", ".join(f"({k}, '{v}')" for k, v in codes.TAG_NAMES.items())
+
+
+@query(f"SELECT i.slide_id, i.ifd_index, CAST(t.tag AS INTEGER) AS tag, t.name FROM v_ifds i JOIN (VALUES {NAMED_TAGS}) t(tag, name) ON t.tag % 7 = i.ifd_index % 7")
+def tag_names(s: Slides) -> DataFrame:
+    """Names of tags from the dictionary, a few for each directory: an equi-join with a table of fixed size."""
+    names = codes.dimension(s.spark, [(k, v, k % 7) for k, v in codes.TAG_NAMES.items()], "tag int, name string, some long")
+    return s["v_ifds"].withColumn("some", F.col("ifd_index") % 7).join(names, "some").select("slide_id", "ifd_index", "tag", "name")
 
 
 CASES = " ".join(f"WHEN '{k}' THEN {v}" for k, v in codes.COMPRESSION_TAGS.items())
@@ -65,7 +67,7 @@ def truncate_values(s: Slides) -> DataFrame:
 SELECT slide_id, ifd_index, type_name, size * n AS nbytes, size * n <= 4 AS inline_classic, size * n <= 8 AS inline_big
 FROM (SELECT slide_id, ifd_index, CASE ifd_index % 4 WHEN 0 THEN 'SHORT' WHEN 1 THEN 'LONG' WHEN 2 THEN 'RATIONAL' ELSE 'LONG8' END AS type_name,
              CAST(CASE ifd_index % 4 WHEN 0 THEN 2 WHEN 1 THEN 4 ELSE 8 END AS BIGINT) AS size, 1 + width % 3 AS n FROM v_ifds) q""")
-def typed_tag_values(s: Slides) -> DataFrame:
+def tag_value_sizes(s: Slides) -> DataFrame:
     """Type names, sizes and whether a value fits in its entry."""
     kind = F.element_at(F.array(*map(F.lit, (3, 4, 5, 16))), (F.col("ifd_index") % 4).cast("int") + 1)
     named = F.coalesce(*[F.when(kind == k, v) for k, v in codes.TYPE_NAMES.items()])

@@ -16,8 +16,8 @@ CONTAINERS = tuple(codes.CAPABILITIES)
 TARGETS = "(VALUES " + ", ".join(f"('{c}')" for c in CONTAINERS) + ") t(container)"
 
 
-def listed(words: str) -> str:
-    return "(" + ", ".join(f"'{w}'" for w in words.split() or ["-"]) + ")"
+def listed(words: tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words or ("-",)) + ")"
 
 
 VERDICT = " ".join(
@@ -40,7 +40,7 @@ COPY = " OR ".join(f"(container = '{c}' AND compression IN {listed(w)})" for c,
 
 
 @query(f"""
-SELECT slide_id, container, tile = 256 AND container NOT IN ('dzi', 'szi') AND format IN {listed(" ".join(codes.TILED_FORMATS))} AND ({COPY}) AS eligible
+SELECT slide_id, container, tile = 256 AND container NOT IN ('dzi', 'szi') AND format IN {listed(codes.TILED_FORMATS)} AND ({COPY}) AS eligible
 FROM v_slides JOIN {TARGETS} ON true""")
 def tile_copy_eligible(s: Slides) -> DataFrame:
     """Whether tiles can be copied as they are into 256-pixel tiles of the container, without a codec asked for."""
@@ -124,10 +124,14 @@ def replacement_plan(s: Slides) -> DataFrame:
 
 
 @query("""
-SELECT slide_id, min(level) AS level FROM (SELECT *, lag(width) OVER o AS pw, lag(height) OVER o AS ph FROM v_levels WINDOW o AS (PARTITION BY slide_id ORDER BY level)) q
+WITH told AS (SELECT slide_id, level, CASE WHEN slide_id % 7 = 3 AND level > 0 THEN width * 8 ELSE width END AS width, CASE WHEN slide_id % 11 = 5 AND level > 1 THEN height * 64 ELSE height END AS height FROM v_levels)
+SELECT slide_id, min(level) AS level FROM (SELECT *, lag(width) OVER o AS pw, lag(height) OVER o AS ph FROM told WINDOW o AS (PARTITION BY slide_id ORDER BY level)) q
 WHERE width >= pw OR height >= ph GROUP BY slide_id""")
 def audit_monotone(s: Slides) -> DataFrame:
-    return A.monotone(s["v_levels"])
+    """Levels as a faulty reader tells them: some slides have a level that is not smaller than the one before."""
+    wide = F.when((F.col("slide_id") % 7 == 3) & (F.col("level") > 0), F.col("width") * 8).otherwise(F.col("width"))
+    high = F.when((F.col("slide_id") % 11 == 5) & (F.col("level") > 1), F.col("height") * 64).otherwise(F.col("height"))
+    return A.monotone(s["v_levels"].withColumns({"width": wide, "height": high}))
 
 
 METADATA = """

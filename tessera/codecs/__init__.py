@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from . import jpeg as _jpeg
+
 
 class Unavailable(RuntimeError):
     """The codec is known, but nothing here can encode it."""
@@ -141,7 +143,7 @@ for _c in (
     Codec("none", 1, raw_encode),
     Codec("deflate", 8, deflate_encode),
     Codec("lzw", 5, lambda rgb, knobs: lzw_encode(raw_encode(rgb, knobs))),
-    Codec("jpeg", 7, knobs={"q": "85"}),
+    Codec("jpeg", 7, _jpeg.encode, _jpeg.decode, knobs={"q": "85", "ss": "4:2:0"}),
     Codec("jpeg2000", 33003, knobs={"q": "85"}),
     Codec("htj2k", 60003, knobs={"q": "85"}),
     Codec("jpegxl", 50002, knobs={"distance": "1.0"}),
@@ -164,6 +166,33 @@ def encode(name: str, rgb: np.ndarray, knobs: dict | None = None) -> bytes:
     return codec.encode(rgb, codec.knobs | (knobs or {}))
 
 
+def decode(name: str, data: bytes, width: int, height: int, tables: bytes | None = None, reduce: int = 1) -> np.ndarray:
+    """RGB rows of a tile of known sides; with `reduce` 2, 4 or 8 of that fraction, in the codec's own domain where it can."""
+    codec = lookup(name)
+    if name == "jpeg":
+        return _jpeg.decode(data, tables, reduce)
+    if name in ("none", "deflate", "lzw"):
+        raw = data if name == "none" else zlib.decompress(data) if name == "deflate" else lzw_decode(data)
+        rgb = np.frombuffer(raw, np.uint8)[: width * height * 3].reshape(height, width, 3)
+    elif codec.decode is not None:
+        rgb = codec.decode(data)
+    else:
+        raise Unavailable(f"no decoder for {name} is installed")
+    while reduce > 1:
+        wide = np.pad(rgb, ((0, rgb.shape[0] % 2), (0, rgb.shape[1] % 2), (0, 0)), mode="edge").astype(np.int32)
+        rgb = ((wide[0::2, 0::2] + wide[1::2, 0::2] + wide[0::2, 1::2] + wide[1::2, 1::2]) // 4).astype(np.uint8)
+        reduce //= 2
+    return rgb
+
+
+def emitted_sampling(name: str, knobs: dict | None = None) -> str:
+    """The chroma subsampling that an encoder really writes, read from the header of a small tile; empty where it has none."""
+    from .headers import inspect
+
+    grey = np.full((16, 16, 3), 128, np.uint8)
+    return inspect(name, encode(name, grey, knobs)).get("chroma", "") if lookup(name).encode else ""
+
+
 def health() -> list[tuple[str, str, int]]:
     """For every codec whether it really encodes a grey tile: name, ok or unavailable, bytes."""
     grey = np.full((64, 64, 3), 128, np.uint8)

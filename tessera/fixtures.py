@@ -64,6 +64,14 @@ SELECT l.slide_id, l.level, l.width, l.height, l.tile_w, z.width AS w0, z.height
        CAST(floor(ln(CAST(z.width AS DOUBLE) / l.width) / ln(2.0) + 0.5) AS BIGINT) AS kw,
        CAST(floor(ln(CAST(z.height AS DOUBLE) / l.height) / ln(2.0) + 0.5) AS BIGINT) AS kh
 FROM v_levels l JOIN v_levels z ON l.slide_id = z.slide_id AND z.level = 0""",
+    # Rasters of 101 vectors each, the last of what is left; every second one lies on its side, so both sides may be odd.
+    "v_rasters": """
+SELECT CAST(floor(y / 101) AS BIGINT) AS slide_id,
+       CASE WHEN CAST(floor(y / 101) AS BIGINT) % 2 = 1 THEN y % 101 ELSE x END AS x,
+       CASE WHEN CAST(floor(y / 101) AS BIGINT) % 2 = 1 THEN x ELSE y % 101 END AS y, r, g, b
+FROM v_pixels""",
+    "v_raster_sizes": """
+SELECT slide_id, max(x) + 1 AS width, max(y) + 1 AS height FROM v_rasters GROUP BY slide_id""",
 }
 PIXELS = {
     "spark": """
@@ -118,7 +126,7 @@ class Slides:
             else:
                 text = PIXELS["spark"] if name == "v_pixels" else VIEWS[name]
                 words = text.replace(",", " ").split()
-                used = [n for n in (*TABLES, *VIEWS) if n in words and n != name]
+                used = [n for n in (*TABLES, *VIEWS, "v_pixels") if n in words and n != name]
                 for n in sorted(used, key=len, reverse=True):
                     text = text.replace(f"FROM {n}", f"FROM {{{n}}}").replace(f"JOIN {n}", f"JOIN {{{n}}}")
                 self.made[name] = self.spark.sql(text, **{n: self[n] for n in used if f"{{{n}}}" in text})

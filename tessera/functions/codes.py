@@ -12,22 +12,22 @@ COMPRESSION_NAMES = {1: "none", 5: "lzw", 7: "jpeg", 8: "deflate", 32946: "defla
 COMPRESSION_TAGS = {"none": 1, "lzw": 5, "jpeg": 7, "deflate": 8, "jpeg2000": 33003, "webp": 50001, "jpegxl": 50002, "avif": 60001, "htj2k": 60003}
 #: Container -> codecs that conform, codecs that need leave.
 CAPABILITIES = {
-    "tiff": ("jpeg jpeg2000 htj2k avif webp jpegxl", ""),
-    "cog-wsi": ("jpeg jpeg2000 htj2k avif webp jpegxl", ""),
-    "svs": ("jpeg jpeg2000", "htj2k avif webp jpegxl"),
-    "ome-tiff": ("jpeg jpeg2000", "htj2k avif webp jpegxl"),
-    "dicom": ("jpeg jpeg2000 htj2k", ""),
-    "dzi": ("jpeg png", ""),
-    "szi": ("jpeg png", ""),
-    "bif": ("jpeg", ""),
-    "ife": ("jpeg avif", ""),
+    "tiff": (("jpeg", "jpeg2000", "htj2k", "avif", "webp", "jpegxl"), ()),
+    "cog-wsi": (("jpeg", "jpeg2000", "htj2k", "avif", "webp", "jpegxl"), ()),
+    "svs": (("jpeg", "jpeg2000"), ("htj2k", "avif", "webp", "jpegxl")),
+    "ome-tiff": (("jpeg", "jpeg2000"), ("htj2k", "avif", "webp", "jpegxl")),
+    "dicom": (("jpeg", "jpeg2000", "htj2k"), ()),
+    "dzi": (("jpeg", "png"), ()),
+    "szi": (("jpeg", "png"), ()),
+    "bif": (("jpeg",), ()),
+    "ife": (("jpeg", "avif"), ()),
 }
 #: Target -> codecs whose tiles it takes as they are.
 COPIED = {
-    "cog-wsi": "jpeg webp jpeg2000 avif jpegxl htj2k",
-    "tiff": "jpeg webp jpeg2000 avif jpegxl htj2k",
-    "ome-tiff": "jpeg webp jpeg2000 avif jpegxl htj2k",
-    "svs": "jpeg jpeg2000",
+    "cog-wsi": ("jpeg", "webp", "jpeg2000", "avif", "jpegxl", "htj2k"),
+    "tiff": ("jpeg", "webp", "jpeg2000", "avif", "jpegxl", "htj2k"),
+    "ome-tiff": ("jpeg", "webp", "jpeg2000", "avif", "jpegxl", "htj2k"),
+    "svs": ("jpeg", "jpeg2000"),
 }
 TILED_FORMATS = ("svs", "philips-tiff", "ome-tiff", "bif", "ife", "generic-tiff", "cog-wsi", "dicom", "szi")
 #: Codec, lossless -> transfer syntax, lossy method.
@@ -72,12 +72,24 @@ TAG_NAMES = {
     347: "JPEGTables",
     530: "YCbCrSubSampling",
     34675: "ICCProfile",
+    65080: "WSIImageType",
+    65081: "WSILevelIndex",
+    65082: "WSILevelCount",
+    65083: "WSISourceFormat",
+    65084: "WSIWriterVersion",
+    65085: "WSIMPPX",
+    65086: "WSIMPPY",
+    65087: "WSIMagnification",
 }
+#: Private tags: the image's type, its level, the number of levels, the source's format, the writer, pixel sizes, magnification.
+PRIVATE_TAGS = (65080, 65081, 65082, 65083, 65084, 65085, 65086, 65087)
+PHOTOMETRICS = {0: "white-is-zero", 1: "black-is-zero", 2: "rgb", 3: "palette", 6: "ycbcr", 8: "cielab", 33005: "ycbcr-wavelet"}
+IMAGE_TYPES = ("pyramid", "label", "macro", "thumbnail", "overview", "probability", "map", "associated")
 ASSOCIATED_TYPES = ("label", "macro", "thumbnail", "overview", "probability", "map", "associated")
 
 
-def one_of(column: Column, words: str) -> Column:
-    return column.isin(*words.split()) if words else F.lit(False)
+def one_of(column: Column, words: tuple[str, ...]) -> Column:
+    return column.isin(*words) if words else F.lit(False)
 
 
 def codec_verdict(container: Column, codec: Column, allowed: Column) -> Column:

@@ -8,20 +8,23 @@ from pyspark.sql import functions as F
 from tessera.functions.geometry import align_up
 
 
-def placed(tiles: DataFrame, key: Column, start: int, unit: int = 16) -> DataFrame:
+def placed(tiles: DataFrame, key: Column, start: int, unit: int = 16, bits: int = 12) -> DataFrame:
     """The offset of every tile of a slide's file: coarsest level first, tiles by `key`, each at a multiple of `unit`.
 
     A walk with a cursor is an exclusive running sum of the aligned sizes. Equal keys don't occur in a level. The sum is
-    taken in two steps, of the levels' totals and inside a level, so that a task holds one level of one slide.
+    taken in two steps, of the totals of stretches of 2 ** bits keys and inside a stretch, so that a task holds one of
+    these, and of a slide only a row for each.
     """
     size = align_up(F.col("nbytes"), unit)
-    level = Window.partitionBy("slide_id", "level")
-    inside = level.orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = tiles.groupBy("slide_id", "level").agg(F.sum(size).alias("total"))
-    coarser = Window.partitionBy("slide_id").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("slide_id", "level", (F.coalesce(F.sum("total").over(coarser), F.lit(0)) + start).alias("base"))
-    rows = tiles.withColumn("key", key).join(bases, ["slide_id", "level"])
-    return rows.withColumn("offset", F.col("base") + F.sum(size).over(inside) - size).withColumn("rank", F.row_number().over(level.orderBy("key")) - 1).drop("base", "key")
+    keyed = tiles.withColumn("key", key).withColumn("stretch", F.shiftright(F.col("key").cast("bigint"), bits))
+    inside = Window.partitionBy("slide_id", "level", "stretch").orderBy("key")
+    totals = keyed.groupBy("slide_id", "level", "stretch").agg(F.sum(size).alias("total"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("slide_id").orderBy(F.desc("level"), "stretch").rowsBetween(Window.unboundedPreceding, -1)
+    in_level = Window.partitionBy("slide_id", "level").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("slide_id", "level", "stretch", (F.coalesce(F.sum("total").over(before), F.lit(0)) + start).alias("base"), F.coalesce(F.sum("n").over(in_level), F.lit(0)).alias("first"))
+    rows = keyed.join(bases, ["slide_id", "level", "stretch"])
+    upto = F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("offset", F.col("base") + upto - size).withColumn("rank", (F.col("first") + F.row_number().over(inside) - 1).cast("int")).drop("base", "first", "key", "stretch")
 
 
 def appended(tiles: DataFrame, order: list[str], start: int) -> DataFrame:

@@ -8,20 +8,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.geometry import whole_div
+from tessera.session import settled
 from tessera.shipping import ship
 
 CHANNELS = ("r", "g", "b")
 
 
-def box_halve(pixels: DataFrame, width: int, height: int, duplicate_edge: bool = True) -> DataFrame:
-    """Means of 2 x 2 pixels, truncated. An odd last column or row counts twice, or without `duplicate_edge` not at all."""
+Size = int | Column
+Keys = tuple[str, ...]
 
-    def weight(at: str, size: int) -> Column:
-        return F.when(F.col(at) == size - 1, 2).otherwise(1) if size % 2 else F.lit(1)
+
+def sized(value: Size) -> Column:
+    """A side given as a number for all rasters, or as a column of each row's own."""
+    return F.lit(value).cast("bigint") if isinstance(value, int) else value
+
+
+def box_halve(pixels: DataFrame, width: Size, height: Size, duplicate_edge: bool = True, keys: Keys = ()) -> DataFrame:
+    """Means of 2 x 2 pixels, truncated. An odd last column or row counts twice, or without `duplicate_edge` not at all.
+
+    `keys` name the columns that tell rasters apart; sides may be columns.
+    """
+    width, height = sized(width), sized(height)
+
+    def weight(at: str, size: Column) -> Column:
+        return F.when((F.col(at) == size - 1) & (size % 2 == 1), 2).otherwise(1)
 
     rows = pixels if duplicate_edge else pixels.where((F.col("x") < width - width % 2) & (F.col("y") < height - height % 2))
     each = weight("x", width) * weight("y", height) if duplicate_edge else F.lit(1)
-    grouped = rows.groupBy(whole_div(F.col("x"), 2).alias("x"), whole_div(F.col("y"), 2).alias("y"))
+    grouped = rows.groupBy(*keys, whole_div(F.col("x"), 2).alias("x"), whole_div(F.col("y"), 2).alias("y"))
     return grouped.agg(*[F.floor(F.sum(F.col(c) * each) / 4).cast("int").alias(c) for c in CHANNELS])
 
 
@@ -32,16 +46,22 @@ def halved(raster: np.ndarray) -> np.ndarray:
 
 
 PIXEL_OUT = "level int, x long, y long, r int, g int, b int"
+#: Levels that one shuffle makes: a block then has 256 pixels a side.
+DEPTH = 8
 
 
-def pyramid(pixels: DataFrame, levels: int) -> DataFrame:
-    """Levels 1 to `levels` of a raster, each the box reduction of the rounded level before: level, x, y, r, g, b.
+def pyramid(pixels: DataFrame, levels: int, keys: Keys = (), depth: int = DEPTH) -> DataFrame:
+    """Levels 1 to `levels` of every raster, each the box reduction of the rounded level before: keys, level, x, y, r, g, b.
 
-    Blocks of 2 ** levels pixels a side never share a pixel of any of these levels, so one shuffle by block makes all of
-    them; only blocks at an odd edge of the raster have one of their own. Blocks are of bounded size: deeper pyramids
-    call this again on the last level.
+    Blocks of 2 ** depth pixels a side never share a pixel of any of these levels, so one shuffle by block makes all of
+    them; only blocks at an odd edge of the raster have one of their own. A deeper pyramid takes the last level, settled
+    in the shared folder, as the next call's raster, so that no block grows. A raster of one pixel stays one.
     """
     ship(pixels.sparkSession)
+    if levels > depth:
+        upper = settled(pyramid(pixels, depth, keys, depth))
+        last = upper.where(F.col("level") == depth).drop("level")
+        return upper.unionByName(pyramid(last, levels - depth, keys, depth).withColumn("level", F.col("level") + depth))
     side = 1 << levels
 
     def reduce_block(table: pa.Table) -> pa.Table:
@@ -54,55 +74,57 @@ def pyramid(pixels: DataFrame, levels: int) -> DataFrame:
             raster = halved(raster)
             yy, xx = (g.ravel() for g in np.mgrid[: raster.shape[0], : raster.shape[1]])
             flat = raster.reshape(-1, 3).astype(np.int32)
-            out.append(pa.table({"level": np.full(len(xx), level, np.int32), "x": xx + (bx >> level), "y": yy + (by >> level), **{c: flat[:, k] for k, c in enumerate(CHANNELS)}}))
+            own = {k: pa.array([table.column(k)[0].as_py()] * len(xx), table.schema.field(k).type) for k in keys}
+            out.append(pa.table({**own, "level": np.full(len(xx), level, np.int32), "x": xx + (bx >> level), "y": yy + (by >> level), **{c: flat[:, k] for k, c in enumerate(CHANNELS)}}))
         return pa.concat_tables(out)
 
-    blocks = pixels.withColumn("bx", whole_div(F.col("x"), side)).withColumn("by", whole_div(F.col("y"), side))
-    return blocks.groupBy("bx", "by").applyInArrow(reduce_block, PIXEL_OUT)
+    blocks = pixels.select(*keys, "x", "y", *CHANNELS, whole_div(F.col("x"), side).alias("bx"), whole_div(F.col("y"), side).alias("by"))
+    schema = "".join(f"{k} {pixels.schema[k].dataType.simpleString()}, " for k in keys) + PIXEL_OUT
+    return blocks.groupBy(*keys, "bx", "by").applyInArrow(reduce_block, schema)
 
 
-def subsample(pixels: DataFrame, stride: int) -> DataFrame:
+def subsample(pixels: DataFrame, stride: int, keys: Keys = ()) -> DataFrame:
     """Nearest reduction: the last pixel, in row order, of every stride x stride cell."""
     cell = [whole_div(F.col(c), stride).alias(c) for c in ("x", "y")]
     last = F.max_by(F.struct(*CHANNELS), F.struct("y", "x"))
-    return pixels.groupBy(*cell).agg(last.alias("p")).select("x", "y", "p.*")
+    return pixels.groupBy(*keys, *cell).agg(last.alias("p")).select(*keys, "x", "y", "p.*")
 
 
-def retile(pixels: DataFrame, width: int, height: int, tile: int, halo: int) -> DataFrame:
-    """Pixels by output tile, with a border of `halo` pixels of the neighbours: col, row_, px, py, r, g, b.
+def retile(pixels: DataFrame, width: Size, height: Size, tile: int, halo: int, keys: Keys = ()) -> DataFrame:
+    """Pixels by output tile, with a border of `halo` pixels of the neighbours: keys, col, row_, px, py, r, g, b.
 
     A pixel goes to every tile whose bordered extent holds it, at most four for a border below half a tile.
     """
 
-    def homes(at: str, size: int) -> Column:
-        last = (size - 1) // tile
+    def homes(at: str, size: Column) -> Column:
         lo = F.greatest(F.lit(0).cast("bigint"), whole_div(F.greatest(F.col(at) - halo, F.lit(0)), tile))
-        hi = F.least(F.lit(last).cast("bigint"), whole_div(F.col(at) + halo, tile))
+        hi = F.least(whole_div(size - 1, tile), whole_div(F.col(at) + halo, tile))
         return F.explode(F.sequence(lo, hi))
 
-    rows = pixels.withColumn("col", homes("x", width)).withColumn("row_", homes("y", height))
+    rows = pixels.withColumn("col", homes("x", sized(width))).withColumn("row_", homes("y", sized(height)))
     start = {c: F.greatest(F.lit(0).cast("bigint"), F.col(k) * tile - halo) for c, k in (("x", "col"), ("y", "row_"))}
-    return rows.select("col", "row_", (F.col("x") - start["x"]).alias("px"), (F.col("y") - start["y"]).alias("py"), *CHANNELS)
+    return rows.select(*keys, "col", "row_", (F.col("x") - start["x"]).alias("px"), (F.col("y") - start["y"]).alias("py"), *CHANNELS)
 
 
-def pad_edges(pixels: DataFrame, width: int, height: int, tile: int) -> DataFrame:
-    """The raster out to whole tiles, its last column and row repeated: every edge pixel makes its own copies."""
+def pad_edges(pixels: DataFrame, width: Size, height: Size, tile: int, keys: Keys = ()) -> DataFrame:
+    """Rasters out to whole tiles, their last column and row repeated: every edge pixel makes its own copies."""
 
-    def copies(at: str, size: int) -> Column:
-        full = -(-size // tile) * tile
-        return F.explode(F.when(F.col(at) == size - 1, F.sequence(F.lit(size - 1).cast("bigint"), F.lit(full - 1).cast("bigint"))).otherwise(F.array(F.col(at))))
+    def copies(at: str, size: Column) -> Column:
+        full = F.ceil(size / tile) * tile
+        return F.explode(F.when(F.col(at) == size - 1, F.sequence(size - 1, full - 1)).otherwise(F.array(F.col(at))))
 
-    return pixels.withColumn("px", copies("x", width)).withColumn("py", copies("y", height)).select(F.col("px").alias("x"), F.col("py").alias("y"), *CHANNELS)
+    rows = pixels.withColumn("px", copies("x", sized(width))).withColumn("py", copies("y", sized(height)))
+    return rows.select(*keys, F.col("px").alias("x"), F.col("py").alias("y"), *CHANNELS)
 
 
-def predictor(pixels: DataFrame) -> DataFrame:
+def predictor(pixels: DataFrame, keys: Keys = ()) -> DataFrame:
     """Horizontal differencing modulo 256; the first column stays."""
-    row = Window.partitionBy("y").orderBy("x")
-    return pixels.select("x", "y", *[F.pmod(F.col(c) - F.coalesce(F.lag(c).over(row), F.lit(0)), F.lit(256)).cast("int").alias(c) for c in CHANNELS])
+    row = Window.partitionBy(*keys, "y").orderBy("x")
+    return pixels.select(*keys, "x", "y", *[F.pmod(F.col(c) - F.coalesce(F.lag(c).over(row), F.lit(0)), F.lit(256)).cast("int").alias(c) for c in CHANNELS])
 
 
-def rotate_clockwise(pixels: DataFrame, height: int) -> DataFrame:
-    return pixels.select((F.lit(height - 1).cast("bigint") - F.col("y")).alias("x"), F.col("x").alias("y"), *CHANNELS)
+def rotate_clockwise(pixels: DataFrame, height: Size, keys: Keys = ()) -> DataFrame:
+    return pixels.select(*keys, (sized(height) - 1 - F.col("y")).alias("x"), F.col("x").alias("y"), *CHANNELS)
 
 
 def read_region(pixels: DataFrame, x: int, y: int, w: int, h: int, white: int | None = 255) -> DataFrame:
@@ -117,9 +139,15 @@ def read_region(pixels: DataFrame, x: int, y: int, w: int, h: int, white: int |
     return cells.join(inside, ["x", "y"], "left").select("x", "y", *[F.coalesce(c, F.lit(white)).alias(c) for c in CHANNELS])
 
 
-def tile_hashes(pixels: DataFrame, tile: int) -> DataFrame:
-    """SHA-256 of the tight RGB rows of every tile: col, row_, sha256. The text form is hex, two digits a channel."""
+def crop(pixels: DataFrame, x: int, y: int, w: int, h: int, keys: Keys = ()) -> DataFrame:
+    """The part of a rectangle that lies inside each raster, moved to the origin."""
+    inside = pixels.where(F.col("x").between(x, x + w - 1) & F.col("y").between(y, y + h - 1))
+    return inside.select(*keys, (F.col("x") - x).alias("x"), (F.col("y") - y).alias("y"), *CHANNELS)
+
+
+def tile_hashes(pixels: DataFrame, tile: int, keys: Keys = ()) -> DataFrame:
+    """SHA-256 of the tight RGB rows of every tile: keys, col, row_, sha256. The text form is hex, two digits a channel."""
     hexed = F.lower(F.concat(*[F.lpad(F.hex(c), 2, "0") for c in CHANNELS]))
-    cells = pixels.select(whole_div(F.col("x"), tile).alias("col"), whole_div(F.col("y"), tile).alias("row_"), F.struct("y", "x", hexed.alias("p")).alias("s"))
+    cells = pixels.select(*keys, whole_div(F.col("x"), tile).alias("col"), whole_div(F.col("y"), tile).alias("row_"), F.struct("y", "x", hexed.alias("p")).alias("s"))
     rows = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["p"]), "")
-    return cells.groupBy("col", "row_").agg(F.sha2(F.unhex(rows), 256).alias("sha256"))
+    return cells.groupBy(*keys, "col", "row_").agg(F.sha2(F.unhex(rows), 256).alias("sha256"))

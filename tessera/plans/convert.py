@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from math import floor, log2
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.codes import CAPABILITIES, COPIED, TILED_FORMATS
@@ -64,11 +64,13 @@ class Plan:
     rect: tuple[int, int, int, int] | None = None
     octaves: tuple[int, ...] = ()
     warnings: tuple[str, ...] = ()
+    overlap: int = 0
+    order: str = "row-major"
 
 
 def check_codec(container: str, codec: str, allowed: bool) -> str | None:
     """A warning, or None; an error for what the container can't hold."""
-    good, loose = (x.split() for x in CAPABILITIES.get(container, ("", "")))
+    good, loose = CAPABILITIES.get(container, ((), ()))
     if codec in good:
         return None
     if codec in loose:
@@ -133,7 +135,7 @@ def plan(request: Request, source: Source) -> Plan:
         raise Refused(f"{to} is no target")
     if request.lossless and (to not in ("dzi", "szi") and request.rect is None or factor > 1):
         raise Refused("lossless needs dzi, szi or a rectangle, and no factor")
-    codec = request.codec or (source.codec if source.codec in " ".join(CAPABILITIES[to]).split() else "png" if to in ("dzi", "szi") else "jpeg")
+    codec = request.codec or (source.codec if source.codec in CAPABILITIES[to][0] + CAPABILITIES[to][1] else "png" if to in ("dzi", "szi") else "jpeg")
     warning = check_codec(to, codec, request.allow_nonconformant)
     if request.order not in ORDERS.get(to, ("row-major",)):
         raise Refused(f"{to} does not take the order {request.order}")
@@ -155,7 +157,7 @@ def plan(request: Request, source: Source) -> Plan:
     octaves = octaves_of(source)
     tiled = source.format in TILED_FORMATS
     same_tile = not request.tile or request.tile == source.tile
-    copied = same_tile and to not in ("dzi", "szi") and not request.codec and tiled and source.codec in COPIED.get(to, "").split() and factor == 1 and not rect
+    copied = same_tile and to not in ("dzi", "szi") and not request.codec and tiled and source.codec in COPIED.get(to, ()) and factor == 1 and not rect
     if to == "ife":
         copied = not request.codec and source.tile == 256 and source.codec in ("jpeg", "avif") and not source.overlapping and factor == 1 and not rect
     shift = factor.bit_length() - 1
@@ -168,24 +170,49 @@ def plan(request: Request, source: Source) -> Plan:
     else:
         how = "engine"
     kept = tuple(k - shift for k in octaves or () if k >= shift)
-    return Plan(how, to, codec, {} if how == "copy" else knobs(codec, request.quality, source.quality), factor, tile, width, height, source.mpp * factor, source.magnification / factor, rect, kept, (warning,) if warning else ())
+    return Plan(how, to, codec, {} if how == "copy" else knobs(codec, request.quality, source.quality), factor, tile, width, height, source.mpp * factor, source.magnification / factor, rect, kept, (warning,) if warning else (), int(to in ("dzi", "szi")), request.order)
 
 
 def output_levels(p: Plan) -> list[tuple[int, int, int]]:
-    """Levels (octave, width, height) that a plan writes: the source's octaves, or all down to one tile."""
+    """Levels (octave, width, height) that a plan writes: the source's octaves, or all down to one tile; a Deep Zoom
+    pyramid has all down to one pixel."""
     out, k, w, h = [], 0, p.width, p.height
+    deep = p.to in ("dzi", "szi")
     while True:
-        if not p.octaves or k in p.octaves:
+        if deep or not p.octaves or k in p.octaves:
             out.append((k, w, h))
-        if (k >= max(p.octaves)) if p.octaves and p.how in ("octaves", "crop") else min(w, h) <= p.tile:
+        if max(w, h) <= 1 if deep else (k >= max(p.octaves)) if p.octaves and p.how in ("octaves", "crop") else min(w, h) <= p.tile:
             return out
         k, w, h = k + 1, -(-w // 2), -(-h // 2)
 
 
-def execute(p: Plan, pixels: DataFrame, tiles: DataFrame | None = None) -> DataFrame:
-    """Output tiles (level, col, row_, bytes): copied as they are, or encoded from reduced pixels.
+def numbers(p: Plan) -> dict[int, int]:
+    """The number that a container gives to each octave: from the finest on, but in a Deep Zoom pyramid from the coarsest."""
+    levels = output_levels(p)
+    return {k: len(levels) - 1 - i if p.to in ("dzi", "szi") else i for i, (k, _, _) in enumerate(levels)}
+
+
+#: Containers whose tiles are all of full size.
+FULL_TILES = ("tiff", "svs", "ome-tiff", "cog-wsi", "dicom", "bif", "ife")
+TILES_OUT = "level int, col int, row_ int, bytes binary"
 
-    Pixels reach the encoder tile by tile, so a task holds one tile; every reduction is the pyramid operator's one shuffle.
+
+def cropped(p: Plan, pixels: DataFrame) -> DataFrame:
+    """The plan's image at its own size: the rectangle at the origin, reduced by the factor."""
+    from tessera.operators import pyramid as P
+
+    image = P.crop(pixels, *p.rect) if p.rect else pixels.select("x", "y", "r", "g", "b")
+    shift = p.factor.bit_length() - 1
+    if shift:
+        image = P.pyramid(image, shift).where(F.col("level") == shift).where((F.col("x") < p.width) & (F.col("y") < p.height)).drop("level")
+    return image
+
+
+def encoded_tiles(p: Plan, levels: DataFrame) -> DataFrame:
+    """Tiles (level, col, row_, bytes) of pixels (level, x, y, r, g, b) whose levels are octaves of the plan.
+
+    A task holds one tile. Neighbours' pixels come along where tiles overlap; tiles at an edge are filled up by its last
+    pixels where the container wants full ones.
     """
     import numpy as np
     import pyarrow as pa
@@ -194,34 +221,49 @@ def execute(p: Plan, pixels: DataFrame, tiles: DataFrame | None = None) -> DataF
     from tessera.operators import pyramid as P
     from tessera.shipping import ship
 
-    if p.how == "copy":
-        if tiles is None:
-            raise Refused("a copy needs the source's tiles")
-        return tiles.select("level", "col", "row_", "bytes")
-    ship(pixels.sparkSession)
-    shift = p.factor.bit_length() - 1
-    image = pixels
-    if p.rect:
-        x, y, w, h = p.rect
-        image = P.read_region(pixels, x, y, w, h, white=None).select((F.col("x") - x).alias("x"), (F.col("y") - y).alias("y"), "r", "g", "b")
-    if shift:
-        image = P.pyramid(image, shift).where(F.col("level") == shift).where((F.col("x") < p.width) & (F.col("y") < p.height)).drop("level")
-    levels = output_levels(p)
-    deepest = max(k for k, _, _ in levels)
-    every = image.select(F.lit(0).alias("level"), "x", "y", "r", "g", "b")
-    if deepest:
-        every = every.unionByName(P.pyramid(image, deepest))
-    index = {k: i for i, (k, _, _) in enumerate(levels)}
-    numbered = F.coalesce(*[F.when(F.col("level") == k, i) for k, i in index.items()])
-    size, codec, quality = p.tile, p.codec, p.quality
+    ship(levels.sparkSession)
+    shape, number = output_levels(p), numbers(p)
+
+    def literal(values: dict[int, int]) -> Column:
+        return F.coalesce(*[F.when(F.col("octave") == k, F.lit(v).cast("bigint")) for k, v in values.items()])
+
+    rows = levels.withColumnRenamed("level", "octave").where(F.col("octave").isin(*number))
+    rows = P.retile(rows, literal({k: w for k, w, _ in shape}), literal({k: h for k, _, h in shape}), p.tile, p.overlap, ("octave",))
+    size, codec, quality, full = p.tile, p.codec, p.quality, p.to in FULL_TILES
 
     def encoded(table: pa.Table) -> pa.Table:
         level, col, row = (table.column(c)[0].as_py() for c in ("level", "col", "row_"))
-        x, y = table.column("x").to_numpy() - col * size, table.column("y").to_numpy() - row * size
+        x, y = table.column("px").to_numpy(), table.column("py").to_numpy()
         raster = np.zeros((int(y.max()) + 1, int(x.max()) + 1, 3), np.uint8)
         raster[y, x] = np.stack([table.column(c).to_numpy() for c in "rgb"], 1)
+        if full:
+            raster = np.pad(raster, ((0, size - raster.shape[0]), (0, size - raster.shape[1]), (0, 0)), mode="edge")
         return pa.table({"level": pa.array([level], pa.int32()), "col": pa.array([col], pa.int32()), "row_": pa.array([row], pa.int32()), "bytes": pa.array([encode(codec, raster, quality)], pa.binary())})
 
-    cells = every.withColumn("level", numbered.cast("int")).where("level is not null")
-    cells = cells.withColumn("col", F.floor(F.col("x") / size).cast("int")).withColumn("row_", F.floor(F.col("y") / size).cast("int"))
-    return cells.groupBy("level", "col", "row_").applyInArrow(encoded, "level int, col int, row_ int, bytes binary")
+    cells = rows.select(literal(number).cast("int").alias("level"), F.col("col").cast("int").alias("col"), F.col("row_").cast("int").alias("row_"), "px", "py", "r", "g", "b")
+    return cells.groupBy("level", "col", "row_").applyInArrow(encoded, TILES_OUT)
+
+
+def execute(p: Plan, pixels: DataFrame | None, tiles: DataFrame | None = None) -> DataFrame:
+    """Output tiles (level, col, row_, bytes): copied as they are, or encoded from reduced pixels.
+
+    A lossless crop keeps the source's tiles on its finest level and encodes the levels below from their pixels.
+    """
+    from tessera.operators import pyramid as P
+
+    if p.how in ("copy", "lossless-crop") and tiles is None:
+        raise Refused("a copy needs the source's tiles")
+    if p.how == "copy":
+        return tiles.select("level", "col", "row_", "bytes")
+    image = cropped(p, pixels)
+    deepest = max(k for k, _, _ in output_levels(p))
+    every = image.select(F.lit(0).alias("level"), "x", "y", "r", "g", "b")
+    if deepest:
+        every = every.unionByName(P.pyramid(image, deepest))
+    if p.how != "lossless-crop" or p.overlap:
+        return encoded_tiles(p, every)
+    x, y, w, h = p.rect
+    col, row = F.col("col") - x // p.tile, F.col("row_") - y // p.tile
+    finest = tiles.where(F.col("level") == 0).select(F.lit(numbers(p)[0]).alias("level"), col.cast("int").alias("col"), row.cast("int").alias("row_"), "bytes")
+    finest = finest.where(F.col("col").between(0, -(-w // p.tile) - 1) & F.col("row_").between(0, -(-h // p.tile) - 1))
+    return finest.unionByName(encoded_tiles(p, every.where(F.col("level") > 0)))

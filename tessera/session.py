@@ -5,13 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's name in the folder that all executors share, as spark.checkpoint.dir names it."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if shared is None:
+def shared(spark: SparkSession) -> str:
+    """The folder that all executors share, as spark.checkpoint.dir names it; on a cluster it must be named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-        shared = spark.sparkContext.getCheckpointDir()
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the folder that all executors share."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint, of which a lost executor loses nothing."""
+    shared(df.sparkSession)
+    return df.checkpoint()

@@ -10,9 +10,11 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.functions.codes import COMPRESSION_NAMES, TAG_NAMES, TYPE_NAMES, TYPE_SIZES
+from tessera.functions.codes import COMPRESSION_NAMES, PRIVATE_TAGS, TAG_NAMES, TYPE_NAMES, TYPE_SIZES
 from tessera.shipping import ship
 
+from .files import Ranged
+
 FORMATS = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 7: "s", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 ENTRY = "path string, ifd int, parent int, ifd_offset long, tag int, tag_name string, type_name string, n long, value string, truncated boolean"
 #: What a dump shows of long values.
@@ -26,34 +28,45 @@ class Header:
     first: int
 
 
-def read_header(data: bytes) -> Header:
+#: The longest value that is read: more than any real tag has.
+MOST_VALUE = 256 << 20
+
+
+def unpack(form: str, data, at: int) -> tuple:
+    """struct.unpack_from for bytes and for a file that is read by ranges."""
+    return struct.unpack(form, data[at : at + struct.calcsize(form)])
+
+
+def read_header(data) -> Header:
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None:
         raise ValueError("no TIFF byte order")
-    magic = struct.unpack_from(order + "H", data, 2)[0]
+    magic = unpack(order + "H", data, 2)[0]
     if magic == 42:
-        return Header(order, False, struct.unpack_from(order + "I", data, 4)[0])
+        return Header(order, False, unpack(order + "I", data, 4)[0])
     if magic == 43:
-        size, zero, first = struct.unpack_from(order + "HHQ", data, 4)
+        size, zero, first = unpack(order + "HHQ", data, 4)
         if (size, zero) == (8, 0):
             return Header(order, True, first)
     raise ValueError("no TIFF magic")
 
 
-def read_directory(data: bytes, head: Header, at: int) -> tuple[list[tuple[int, int, int, object]], int]:
+def read_directory(data, head: Header, at: int) -> tuple[list[tuple[int, int, int, object]], int]:
     """Entries (tag, type, count, value) of the directory at an offset, and the offset of the next."""
     o, wide = head.order, head.big
-    n = struct.unpack_from(o + ("Q" if wide else "H"), data, at)[0]
+    n = unpack(o + ("Q" if wide else "H"), data, at)[0]
     at += 8 if wide else 2
     out = []
     for _ in range(n):
-        tag, kind, count = struct.unpack_from(o + ("HHQ" if wide else "HHI"), data, at)
+        tag, kind, count = unpack(o + ("HHQ" if wide else "HHI"), data, at)
         size, room = TYPE_SIZES.get(kind, 0) * count, 8 if wide else 4
+        if size > MOST_VALUE:
+            raise ValueError(f"tag {tag} has {size} bytes, more than {MOST_VALUE}")
         place = at + (12 if wide else 8)
-        start = place if size <= room else struct.unpack_from(o + ("Q" if wide else "I"), data, place)[0]
+        start = place if size <= room else unpack(o + ("Q" if wide else "I"), data, place)[0]
         out.append((tag, kind, count, decoded(data[start : start + size], kind, count, o)))
         at += 20 if wide else 12
-    return out, struct.unpack_from(o + ("Q" if wide else "I"), data, at)[0]
+    return out, unpack(o + ("Q" if wide else "I"), data, at)[0]
 
 
 def decoded(raw: bytes, kind: int, count: int, order: str) -> object:
@@ -67,7 +80,7 @@ def decoded(raw: bytes, kind: int, count: int, order: str) -> object:
     return list(struct.unpack(order + FORMATS[kind] * count, raw))
 
 
-def walk(data: bytes) -> Iterator[tuple[int, int | None, int, list]]:
+def walk(data) -> Iterator[tuple[int, int | None, int, list]]:
     """Directories (number, parent, offset, entries): the main chain first, then each one's sub-directories in order.
 
     An offset that comes again is a loop and an error.
@@ -111,8 +124,8 @@ def parsed(batches: Iterator[pa.RecordBatch], full: bool) -> Iterator[pa.RecordB
     kinds = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}[x.split()[1]] for x in ENTRY.split(", ")]
     for batch in batches:
         rows = []
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            for number, parent, at, entries in walk(content.as_buffer().to_pybytes()):
+        for path in batch.column(0).to_pylist():
+            for number, parent, at, entries in walk(Ranged(path)):
                 for tag, kind, n, value in entries:
                     rows.append((path, number, parent, at, tag, TAG_NAMES.get(tag, ""), TYPE_NAMES.get(kind, f"TYPE_{kind}"), n, *shown(value, full)))
         columns = zip(*rows, strict=True) if rows else [()] * len(names)
@@ -120,14 +133,16 @@ def parsed(batches: Iterator[pa.RecordBatch], full: bool) -> Iterator[pa.RecordB
 
 
 def read_entries(spark: SparkSession, path: str, full: bool = False) -> DataFrame:
-    """A row for every directory entry of the TIFF files under a path: ENTRY's columns. Spark opens the files."""
+    """A row for every directory entry of the TIFF files under a path: ENTRY's columns. Spark lists the files, and of each
+    only the ranges that hold directories are read."""
     ship(spark)
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(path).select("path")
     return files.mapInArrow(lambda it: parsed(it, full), ENTRY)
 
 
 def read_directories(spark: SparkSession, path: str) -> DataFrame:
-    """A row for every directory: path, ifd, parent, ifd_offset, width, height, tile_w, tile_h, compression, description."""
+    """A row for every directory: path, ifd, parent, ifd_offset, width, height, tile_w, tile_h, compression, photometric,
+    whether it has any of the private tags, description."""
     from pyspark.sql import functions as F
 
     entries = read_entries(spark, path, full=True)
@@ -136,10 +151,10 @@ def read_directories(spark: SparkSession, path: str) -> DataFrame:
         return F.max(F.when(F.col("tag") == tag, F.get_json_object("value", "$[0]").cast("bigint")))
 
     rows = entries.groupBy("path", "ifd", "parent", "ifd_offset").agg(
-        number(256).alias("width"), number(257).alias("height"), number(322).alias("tile_w"), number(323).alias("tile_h"), number(259).alias("tag"), F.max(F.when(F.col("tag") == 270, F.get_json_object(F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v"))).alias("description")
+        F.bool_or(F.col("tag").isin(*PRIVATE_TAGS)).alias("has_private"), number(262).alias("photometric"), number(256).alias("width"), number(257).alias("height"), number(322).alias("tile_w"), number(323).alias("tile_h"), number(259).alias("tag"), F.max(F.when(F.col("tag") == 270, F.get_json_object(F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v"))).alias("description")
     )
     named = F.coalesce(*[F.when(F.col("tag") == k, v) for k, v in COMPRESSION_NAMES.items()], F.concat(F.lit("tag-"), F.col("tag").cast("string")))
-    return rows.select("path", "ifd", "parent", "ifd_offset", "width", "height", "tile_w", "tile_h", named.alias("compression"), "description")
+    return rows.select("path", "ifd", "parent", "ifd_offset", "width", "height", "tile_w", "tile_h", named.alias("compression"), "photometric", "has_private", "description")
 
 
 class Entries:

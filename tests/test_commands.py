@@ -42,7 +42,10 @@ def test_convert_to_deep_zoom_and_back(spark, pixels, tmp_path):
     top = max(t.level for t in tiles)
     for t in (t for t in tiles if t.level == top):
         found = codecs.png_decode(bytes(t.bytes))
-        assert (found == want[t.row_ * 32 : t.row_ * 32 + 32, t.col * 32 : t.col * 32 + 32]).all()
+        y, x = max(0, t.row_ * 32 - 1), max(0, t.col * 32 - 1)  # a pixel of the neighbours on each side
+        assert (found == want[y : t.row_ * 32 + 33, x : t.col * 32 + 33]).all()
+    assert top == 6 and {t.level for t in tiles} == set(range(7))
+    assert codecs.png_decode(bytes(next(t.bytes for t in tiles if t.level == 0))).shape == (1, 1, 3)
 
 
 def test_copy_keeps_bytes(spark, pixels, tmp_path):

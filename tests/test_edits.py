@@ -83,4 +83,5 @@ def test_decimal_string():
 def test_ghost():
     data = containers.ghost_area()
     assert data.startswith(b"GDAL_STRUCTURAL_METADATA_SIZE=%06d bytes\n" % (len(data) - 43))
-    assert containers.parse_ghost(data) == dict(containers.GHOST)
+    found = containers.parse_ghost(data)
+    assert found["LAYOUT"] == "IFDS_BEFORE_DATA" and found["BLOCK_ORDER"] == "ROW_MAJOR" and not any("LEADER" in k or "TRAILER" in k for k in found)
