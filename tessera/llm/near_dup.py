@@ -20,7 +20,7 @@ BINS, MISSED = 512, 8e-6
 TRIES = 4096
 COPY, CANDIDATE, SIZE = 0, 1, 2
 #: Loners that a cell holds, members that pass it, and rows of either that are compared at a time.
-BLOCK, STRIP, STEP = 2048, 4096, 512
+BLOCK, STRIP, STEP = 512, 768, 512
 #: Texts that are sketched at a time, and their bytes: so many signatures are in memory at most.
 ROWS, BYTES = 512, 1 << 19
 
