@@ -102,6 +102,13 @@ def description(p: Plan, source: Source) -> str:
     return f"Aperio Image, {X.SOFTWARE} (from {source.format})\r\n{shape}{''.join(facts)}"
 
 
+def ome_xml(p: Plan, levels: int) -> str:
+    """The smallest OME description of one image: sides, samples, pixel size where it is known."""
+    size = f' PhysicalSizeX="{p.mpp:g}" PhysicalSizeY="{p.mpp:g}"' if p.mpp > 0 else ""
+    pixels = f'<Pixels ID="Pixels:0" DimensionOrder="XYCZT" Type="uint8" SizeX="{p.width}" SizeY="{p.height}" SizeC="3" SizeZ="1" SizeT="1" Interleaved="true"{size}>'
+    return f'<?xml version="1.0" encoding="UTF-8"?><OME xmlns="http://www.openmicroscopy.org/Schemas/OME/2016-06"><Image ID="Image:0">{pixels}<Channel ID="Channel:0:0" SamplesPerPixel="3"/><TiffData IFD="0" PlaneCount="1"/></Pixels></Image></OME>'
+
+
 def properties_xml(p: Plan, source: Source) -> str:
     """Scan properties, one for each fact that is known."""
     facts = {"ImageWidth": p.width, "ImageHeight": p.height, "TileSize": p.tile, "SourceFormat": source.format, "MicronsPerPixel": f"{p.mpp:g}" if p.mpp > 0 else "", "Magnification": f"{p.magnification:g}" if p.magnification > 0 else ""}
@@ -135,7 +142,7 @@ def convert(request: Request, source: Source, pixels: DataFrame | None, target:
     sides = tuple(x for x in sides if x.type in allowed)
     p = replace(p, warnings=p.warnings + left_out)
     if p.to in ("tiff", "svs", "ome-tiff", "cog-wsi"):
-        text = description(p, source) if p.to == "svs" else ""
+        text = description(p, source) if p.to == "svs" else ome_xml(p, len(rows)) if p.to == "ome-tiff" else ""
         containers.write_tiff(out, table, target, p.codec, kind=p.to, description=text, order=request.order, mpp=p.mpp, look=look, sides=sides)
     elif p.to in ("dzi", "szi"):
         if p.to == "dzi":

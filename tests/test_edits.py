@@ -72,7 +72,15 @@ def test_dicom(spark, tmp_path):
             want = next(b for lv, c, r, b in rows if (lv, c, r) == (level, k % cols, k // cols))
             assert e[0x7FE0, 0x10, k].rstrip(b"\0") == want and len(e[0x7FE0, 0x10, k]) % 2 == 0
     with pytest.raises(ValueError, match="of 8 tiles"):
-        dicom.write_series(tiles.where("col < 3"), levels, folder)
+        dicom.write_series(tiles.where("col < 3"), levels, f"{folder}-2")
+    with pytest.raises(ValueError, match="there already"):
+        dicom.write_series(tiles, levels, folder)
+    with pytest.raises(ValueError, match="transfer syntax"):
+        dicom.write_series(tiles, levels, f"{folder}-3", "webp")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["series"]
+    elements = list(dicom.read_elements(files.get(f"{folder}/level-0.dcm")))
+    top = [k[:2] for k in elements if k[0] > 2 and len(k) == 2]
+    assert top == sorted(top)
 
 
 def test_decimal_string():
