@@ -78,6 +78,33 @@ class Ordinal:
         return sigmoid(scores[:, None] - self.limits[None, :])
 
 
+def ordered(spread: np.ndarray) -> np.ndarray:
+    """Limits in order from a first one and the logarithms of the gaps behind it."""
+    return spread[0] + np.concatenate([[0.0], np.cumsum(np.exp(np.clip(spread[1:], -4, 4)))])
+
+
+def likelihood(scores: np.ndarray, limits: np.ndarray, grades: np.ndarray) -> np.ndarray:
+    """P(grade) of each row: the difference of two cumulative links."""
+    top = len(limits)
+    upper = np.where(grades < top, sigmoid(limits[np.minimum(grades, top - 1)] - scores), 1.0)
+    lower = np.where(grades > 0, sigmoid(limits[np.maximum(grades - 1, 0)] - scores), 0.0)
+    return np.maximum(upper - lower, 1e-9)
+
+
+def gradients(scores: np.ndarray, spread: np.ndarray, grades: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the mean negative logarithm of the likelihood: by each row's score, and by `spread`."""
+    limits, top = ordered(spread), len(spread)
+    upper = np.where(grades < top, sigmoid(limits[np.minimum(grades, top - 1)] - scores), 1.0)
+    lower = np.where(grades > 0, sigmoid(limits[np.maximum(grades - 1, 0)] - scores), 0.0)
+    p = np.maximum(upper - lower, 1e-9)
+    du, dl = upper * (1 - upper), lower * (1 - lower)
+    by_limit = np.bincount(np.minimum(grades, top - 1), np.where(grades < top, -du / p, 0), top) + np.bincount(np.maximum(grades - 1, 0), np.where(grades > 0, dl / p, 0), top)
+    by_limit /= len(grades)
+    gaps = np.exp(np.clip(spread[1:], -4, 4))
+    by_spread = np.concatenate([[by_limit.sum()], [by_limit[k + 1 :].sum() * gaps[k] for k in range(top - 1)]])
+    return (du - dl) / p / len(grades), by_spread
+
+
 def fit_ordinal(slots: np.ndarray, bounds: np.ndarray, grades: np.ndarray, levels: int, steps: int = 400, batch: int = 1024, rate: float = 0.03, decay: float = 5e-4, least: int = 3, seed: int = 0) -> Ordinal:
     """Maximum likelihood by Adam on minibatches, with decay and a rate that falls to 0; features of fewer than `least` documents weigh nothing.
 
@@ -85,12 +112,9 @@ def fit_ordinal(slots: np.ndarray, bounds: np.ndarray, grades: np.ndarray, level
     """
     rng = np.random.default_rng(seed)
     model = Ordinal(np.zeros(SIZE), np.zeros(levels - 1))
-    spread = np.zeros(levels - 1)  # the first limit, then logarithms of the gaps
+    spread = np.zeros(levels - 1)
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in (("w", model.weights), ("t", spread))}
 
-    def limits() -> np.ndarray:
-        return spread[0] + np.concatenate([[0.0], np.cumsum(np.exp(np.clip(spread[1:], -4, 4)))])
-
     def move(name: str, x: np.ndarray, g: np.ndarray, t: int) -> None:
         m, v = state[name]
         m += 0.1 * (g - m)
@@ -102,25 +126,13 @@ def fit_ordinal(slots: np.ndarray, bounds: np.ndarray, grades: np.ndarray, level
     for t in range(1, steps + 1):
         rows = rng.integers(0, len(grades), min(batch, len(grades)))
         n = counts[rows]
-        at = np.repeat(bounds[:-1][rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        used = slots[at]
+        used = slots[np.repeat(bounds[:-1][rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         local = np.concatenate([[0], np.cumsum(n)])
-        theta = limits()
-        score = model.scores(used, local)
-        y = grades[rows]
-        upper = np.where(y < levels - 1, sigmoid(theta[np.minimum(y, levels - 2)] - score), 1.0)
-        lower = np.where(y > 0, sigmoid(theta[np.maximum(y - 1, 0)] - score), 0.0)
-        p = np.maximum(upper - lower, 1e-9)
-        du, dl = upper * (1 - upper), lower * (1 - lower)
-        g_score = (du - dl) / p / len(rows)
-        g_theta = np.bincount(np.minimum(y, levels - 2), np.where(y < levels - 1, -du / p, 0), levels - 1) + np.bincount(np.maximum(y - 1, 0), np.where(y > 0, dl / p, 0), levels - 1)
-        g_theta /= len(rows)
-        gaps = np.exp(np.clip(spread[1:], -4, 4))
-        g_spread = np.concatenate([[g_theta.sum()], [g_theta[k + 1 :].sum() * gaps[k] for k in range(levels - 2)]])
-        g = np.where(seen, np.bincount(used, np.repeat(g_score, n), SIZE) + decay * model.weights, 0.0)
+        by_score, by_spread = gradients(model.scores(used, local), spread, grades[rows])
+        g = np.where(seen, np.bincount(used, np.repeat(by_score, n), SIZE) + decay * model.weights, 0.0)
         move("w", model.weights, g, t)
-        move("t", spread, g_spread, t)
-    model.limits = limits()
+        move("t", spread, by_spread, t)
+    model.limits = ordered(spread)
     return model
 
 
@@ -132,8 +144,10 @@ def grade_of(quality: Column, toxic: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, seed: int = 0) -> Ordinal:
     """The model of at most `sample` labelled documents, those with the least hashed ids; the only bound on what is read.
 
-    A document with several labels has the lowest grade of them; labels without an id, a quality or a toxicity, and
-    labels of documents that are not there, are left out. Without any label every score is 0.
+    Defined results: a document with several labels has the lowest grade of them; labels without an id, a quality or a
+    toxicity, and labels of documents that are not there, are left out; ties of the hash follow the id; rows that share
+    an id all have its grade; a null text is an empty one, a very long one is read whole; without any label every score
+    is 0. Other columns are not read.
     """
     ship(docs.sparkSession)
     rated = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min(grade_of(F.col("quality"), F.col("toxic"))).alias("grade"))
@@ -159,8 +173,11 @@ def rate(docs: DataFrame, model: Ordinal, least: float = 0.5) -> DataFrame:
     """Every document's expected grade and tail probability: doc_id, grade, tail, kept.
 
     `tail` is the probability of the highest grade; a document is kept if it is at least `least`. Nothing is shuffled;
-    the model, of a fixed size, is sent to all tasks. Defined results: a null text is an empty one; rows are rated one
-    by one, null ids too; other columns are not read.
+    the model, of a fixed size, is sent to all tasks.
+
+    Defined results: a null text is an empty one, which its measures alone rate; a very long text is rated whole; a
+    document at the limit is kept; rows are rated one by one, equal ones alike, null ids too; an empty table gives an
+    empty one. Other columns are not read.
     """
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.limits))
@@ -183,7 +200,7 @@ def tail_rows(model: Ordinal, texts: pa.Array) -> np.ndarray:
 
 
 def select_good(docs: DataFrame, model: Ordinal, least: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, that `rate` keeps."""
+    """The rows of docs, with all their columns, of any name and type, that `rate` keeps; its defined results hold."""
     sent = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.limits))
     ship(docs.sparkSession)
     place = docs.columns.index("text")

@@ -115,3 +115,71 @@ def token_pieces(rows: list[tuple[int, str | None]], path: str, most: int, speci
         for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
             out[d, k] = (a, b - a, zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[a:b])))
     return out
+
+
+MASK = (1 << 64) - 1
+
+
+def scrambled(x: int) -> int:
+    """The SplitMix64 finaliser."""
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & MASK
+    return x ^ x >> 31
+
+
+def parsed(symbols: list[int], base: int, rounds: int = 3) -> list[int]:
+    """One level of a locally consistent parsing, symbol by symbol: the names of the phrases."""
+    runs: list[list[int]] = []
+    for s in symbols:
+        if runs and runs[-1][0] == s:
+            runs[-1][1] += 1
+        else:
+            runs.append([s, 1])
+    names = [s if n == 1 else scrambled((s * base + n) & MASK) for s, n in runs]
+    if not names:
+        return []
+
+    def label(own: int, left: int | None) -> int:
+        place = 0 if left is None else ((own ^ left) & -(own ^ left)).bit_length() - 1
+        return 2 * place + (own >> place & 1)
+
+    labels = [label(x, names[i - 1] if i else None) for i, x in enumerate(names)]
+    for _ in range(rounds):
+        before = [0, *labels[:-1]]
+        labels = [0 if own == left else label(own, left) for own, left in zip(labels, before)]
+    starts = [0]
+    for i in range(1, len(names)):
+        after = labels[i + 1] if i + 1 < len(labels) else 0
+        if labels[i] > labels[i - 1] and labels[i] >= after and i > 1:
+            starts.append(i)
+    out = []
+    for a, b in zip(starts, [*starts[1:], len(names)], strict=True):
+        total = sum(scrambled(x) * pow(base, k % 64, 1 << 64) for k, x in enumerate(names[a:b])) + b - a
+        out.append(scrambled(total & MASK))
+    return out
+
+
+def fingerprint(text: str, base: int, levels: tuple[int, ...], bins: int) -> list[int]:
+    names = [scrambled(x + 1000) for x in text.encode()]
+    least: dict[int, int] = {}
+    for level in range(1, max(levels) + 1):
+        names = parsed(names, base)
+        if level in levels:
+            for x in names:
+                y = scrambled((x + level) & MASK)
+                least[y >> 57] = min(y, least.get(y >> 57, y))
+    return [1 + scrambled(least[k]) % 65535 if k in least else 0 for k in range(bins)]
+
+
+def ordinal_loss(rows: list[list[int]], grades: list[int], weights: dict[int, float], limits: list[float]) -> float:
+    """The mean negative logarithm of P(grade), P(grade <= k) = 1 / (1 + exp(score - limit k))."""
+    import math
+
+    def upto(k: int, score: float) -> float:
+        return 0.0 if k < 0 else 1.0 if k >= len(limits) else 1 / (1 + math.exp(score - limits[k]))
+
+    total = 0.0
+    for slots, y in zip(rows, grades, strict=True):
+        score = sum(weights.get(s, 0.0) for s in slots)
+        total -= math.log(upto(y, score) - upto(y - 1, score))
+    return total / len(rows)

@@ -59,6 +59,15 @@ def test_fingerprints_are_local():
     assert sketches(pa.array([*texts, *texts[::-1]])).tolist() == alone + alone[::-1]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "ab", "abc", "aaa", " ", "é", "xyz ", "0", "the "]), max_size=120).map("".join))
+def test_fingerprints_equal_brute_force(text):
+    from tessera.llm.fingerprints import BINS, LEVELS
+    from tessera.llm.kernels import BASE
+
+    assert sketches(pa.array(["some text before", text, "abc abc"]))[1].tolist() == brute.fingerprint(text, int(BASE), LEVELS, BINS)
+
+
 def test_archive(spark, tmp_path):
     rows = [(1, "u1", "x" * 10), (2, "u2", "x" * 10), (3, None, "x" * 10), (4, "u 4\r\nX: y", None), (5, "u5", ""), (6, "u6", "ü€" * 9000), (None, "u7", "x" * 10), (9, "u9", "only"), (-1, "u10", "\r\n\r\n")]
     pages = spark.createDataFrame([(*r, "k", 1) for r in rows], "page_id long, url string, html string, key string, bucket int").repartition(3)
@@ -250,6 +259,39 @@ def test_classifier_held_out(spark):
     assert all(0 <= r.grade <= 2 and r.kept == (r.tail >= 0.5) for r in rows)
 
 
+def test_ordinal_equals_brute_force():
+    """Likelihood and gradients against the definition and finite differences, and a fit that beats the best constant model."""
+    rng = np.random.default_rng(4)
+    rows = [rng.choice(6, rng.integers(1, 5), replace=False).tolist() for _ in range(40)]
+    grades = np.array([min(2, sum(s in (0, 1) for s in r)) for r in rows])
+    bounds, slots = np.concatenate([[0], np.cumsum([len(r) for r in rows])]), np.concatenate(rows)
+    weights = rng.normal(size=6)
+    spread = np.array([-0.3, 0.4])
+    limits = classifier.ordered(spread)
+    full = np.zeros(classifier.SIZE)
+    full[:6] = weights
+    scores = classifier.Ordinal(full, limits).scores(slots, bounds)
+
+    def loss(w, t):
+        return brute.ordinal_loss(rows, grades.tolist(), dict(enumerate(w)), classifier.ordered(t).tolist())
+
+    assert abs(-np.log(classifier.likelihood(scores, limits, grades)).mean() - loss(weights, spread)) < 1e-12
+    by_score, by_spread = classifier.gradients(scores, spread, grades)
+    for k in range(6):
+        step = np.eye(6)[k] * 1e-6
+        assert abs((loss(weights + step, spread) - loss(weights - step, spread)) / 2e-6 - sum(g for g, r in zip(by_score, rows) if k in r)) < 1e-6
+    for k in range(2):
+        step = np.eye(2)[k] * 1e-6
+        assert abs((loss(weights, spread + step) - loss(weights, spread - step)) / 2e-6 - by_spread[k]) < 1e-6
+    model = classifier.fit_ordinal(slots, bounds, grades, 3, steps=300, decay=0.0)
+    shares = np.bincount(grades, minlength=3) / len(grades)
+    constant = -(shares[shares > 0] * np.log(shares[shares > 0])).sum()
+    fitted = brute.ordinal_loss(rows, grades.tolist(), dict(enumerate(model.weights[:6])), model.limits.tolist())
+    assert fitted < 0.5 * constant and (np.diff(model.limits) > 0).all()
+    tails = model.tails(model.scores(slots, bounds))
+    assert np.allclose(tails.sum(1), [sum(1 / (1 + np.exp(-(sum(model.weights[s] for s in r) - t))) for t in model.limits) for r in rows])
+
+
 def test_classifier_edges(edges, empty, spark):
     labels = spark.createDataFrame([(7, 1, 0), (7, 0, 0), (14, 0, 0), (None, 1, 1), (1, None, 0), (99, 1, 0), (10, 1, 0), (11, 1, 1)], "doc_id long, quality long, toxic long")
     model = classifier.fit(edges, labels)
