@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.pyramid import halved
@@ -32,10 +32,12 @@ def pyramid_stream(rows: DataFrame, height: int, levels: int) -> DataFrame:
         if state.exists and len(held[0]) == 1 and held[0][0] == -1:
             raise ValueError(f"a row of band {band} came after the band was complete")
         ys, *channels = (list(x) for x in held)
+        seen = set(ys)
         for batch in batches:
             for y, *rgb in zip(batch["y"], batch["r"], batch["g"], batch["b"], strict=True):
-                if int(y) in ys:
+                if int(y) in seen:
                     raise ValueError(f"row {y} came twice")
+                seen.add(int(y))
                 ys.append(int(y))
                 for c, v in zip(channels, rgb, strict=True):
                     c.append([int(z) for z in v])
@@ -56,9 +58,17 @@ def pyramid_stream(rows: DataFrame, height: int, levels: int) -> DataFrame:
     return keyed.groupBy("band").applyInPandasWithState(step, OUT, state, "append", "NoTimeout")
 
 
-def in_order(tiles: DataFrame) -> DataFrame:
+class Overfull(RuntimeError):
+    """More tiles wait for an earlier one than the buffer may hold."""
+
+
+def in_order(tiles: DataFrame, most: int = 1 << 16) -> DataFrame:
     """Tiles (slide_id, idx, nbytes) of every slide in the order of idx, though they come in any: those that wait for an
-    earlier one are held. A tile that is late or comes again after it went out is an error; a held one is replaced."""
+    earlier one are held, at most `most` of a slide.
+
+    The tile that is due is always let in, however full the buffer is. A tile that is late or comes again after it went
+    out, and one more than the buffer may hold, end the stream with an error; a held one is replaced.
+    """
     ship(tiles.sparkSession)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -70,11 +80,26 @@ def in_order(tiles: DataFrame) -> DataFrame:
                 if idx < following:
                     raise ValueError(f"tile {idx} of slide {key[0]} came late or twice")
                 held[int(idx)] = int(size)
-        while following in held:
-            out.append((int(key[0]), following, held.pop(following)))
-            following += 1
+                while following in held:
+                    out.append((int(key[0]), following, held.pop(following)))
+                    following += 1
+                if len(held) > most:
+                    raise Overfull(f"{len(held)} tiles of slide {key[0]} wait for tile {following}")
         state.update((following, list(held), list(held.values())))
         if out:
             yield pd.DataFrame(out, columns=["slide_id", "idx", "nbytes"])
 
     return tiles.groupBy("slide_id").applyInPandasWithState(step, "slide_id long, idx long, nbytes long", "following long, idx array<long>, sizes array<long>", "append", "NoTimeout")
+
+
+def missing(tiles: DataFrame, expected: DataFrame) -> DataFrame:
+    """At the end of a batch of tiles (slide_id, idx) what a slide still lacks of its `n` tiles: slide_id, n, found, first.
+
+    `first` is the first index that is not there. A slide that lacks nothing has no row.
+    """
+    there = tiles.select("slide_id", "idx").distinct()
+    before = Window.partitionBy("slide_id").orderBy("idx")
+    ranked = there.withColumn("place", F.row_number().over(before) - 1)
+    found = ranked.groupBy("slide_id").agg(F.count(F.lit(1)).alias("found"), F.min(F.when(F.col("idx") != F.col("place"), F.col("place"))).alias("gap"))
+    rows = expected.join(found, "slide_id", "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    return rows.where("found < n").select("slide_id", "n", "found", F.coalesce("gap", "found").cast("bigint").alias("first"))
