@@ -13,8 +13,8 @@ from tessera.codecs.jpeg import SAMPLINGS
 from tessera.functions import codes
 from tessera.functions import text as X
 from tessera.operators import audit, directories, edit, gates, levels, pyramid
-from tessera.plans.convert import Plan, Refused, Request, Source, execute, octaves_of, output_levels, plan
-from tessera.sources import containers, deepzoom, dicom, files, slides, splice, tiff
+from tessera.plans.convert import Plan, Refused, Request, Source, cropped, execute, octaves_of, output_levels, plan
+from tessera.sources import bif, containers, deepzoom, dicom, files, slides, splice, tiff
 
 
 def info(slides: DataFrame, level_rows: DataFrame) -> DataFrame:
@@ -153,7 +153,12 @@ def convert(request: Request, source: Source, pixels: DataFrame | None, target:
         for side in sides:  # beside the pyramid, as PNG files
             files.put(f"{target.removesuffix('.szi')}_associated/{side.type}.png", [codecs.encode("png", side_rgb(side))])
     elif p.to == "ife":
-        containers.write_ife(out, table, target, p.codec)
+        facts = {"source-format": source.format, "writer": "tessera", "scanner-make": look.make, "scanner-model": look.model}
+        containers.write_ife(out, table, target, p.codec, look, sides, {k: v for k, v in facts.items() if v})
+    elif p.to == "bif":
+        shown = next((side_rgb(x) for x in sides if x.type in gates.OVERVIEW_TYPES), None)
+        tissue = None if shown is not None else coarsest(pixels, p)
+        bif.write_bif(out, table, target, bif.overview(shown, tissue), p.magnification or 20.0, p.mpp or 0.465, look.subsampling or (2, 2))
     elif p.to == "dicom":
         dicom.write_series(out, table, target, p.codec, mpp=p.mpp, sides=sides, facts={"make": look.make, "model": look.model})
     else:
@@ -161,6 +166,17 @@ def convert(request: Request, source: Source, pixels: DataFrame | None, target:
     return p
 
 
+def coarsest(pixels: DataFrame | None, p: Plan, most: int = 2048) -> np.ndarray | None:
+    """The image reduced until its longer side is at most `most`: it reaches the driver."""
+    if pixels is None:
+        return None
+    step = max(0, (max(p.width, p.height) - 1).bit_length() - most.bit_length() + 1)
+    image = cropped(p, pixels)
+    if step:
+        image = pyramid.pyramid(image, step).where(F.col("level") == step)
+    return region(image.select("x", "y", "r", "g", "b"), 0, 0, -(-p.width // (1 << step)), -(-p.height // (1 << step)))
+
+
 def side_rgb(side: containers.Side) -> np.ndarray:
     """A side image's pixels: strips one below the other, differences undone."""
     rows, y, out = side.rows_per_strip or side.height, 0, []

@@ -345,38 +345,88 @@ def write_szi(tiles: DataFrame, target: str, name: str, tile: int, overlap: int,
         remove(staging)
 
 
-NULL_OFFSET = (1 << 40) - 1
-
-
-def write_ife(tiles: DataFrame, levels: DataFrame, target: str, codec: str) -> int:
-    """The layered tile format, for 256-pixel tiles in jpeg or avif: header, tiles, then tables, the coarsest level first.
-
-    A place without a tile has the null offset and size 0.
+# Fixed values of the layered tile format: its magic, absent offsets, a tag for each kind of block, codes of encodings.
+MAGIC = 0x49726973
+NULL_OFFSET, NULL_BLOCK = (1 << 40) - 1, (1 << 64) - 1
+BLOCKS = {"header": 0x5501, "table": 0x5502, "metadata": 0x5504, "attributes": 0x5505, "extents": 0x5506, "offsets": 0x5507, "sizes": 0x5508, "bytes": 0x5509, "array": 0x550A, "image": 0x550B, "profile": 0x550C}
+TILE_ENCODINGS = {"jpeg": 2, "avif": 3}
+IMAGE_ENCODINGS = {"png": 1, "jpeg": 2, "avif": 3}
+
+
+def layered_images(at: int, sides: tuple[Side, ...]) -> tuple[bytes, int]:
+    """Side images as blocks from an offset on, and where their array is. Those in other codecs go as PNG."""
+    out, lines = b"", []
+    for s in sides:
+        codec, blob = s.codec, s.strips[0]
+        if codec not in IMAGE_ENCODINGS or len(s.strips) > 1 or s.tables:
+            from tessera.codecs import decode, encode
+
+            rows, y, planes = s.rows_per_strip or s.height, 0, []
+            for raw in s.strips:
+                rgb = decode(codec, raw, s.width, min(rows, s.height - y), s.tables or None)
+                planes.append(np.cumsum(rgb, 1, dtype=np.uint8) if s.predictor == 2 else rgb)
+                y += len(rgb)
+            codec, blob = "png", encode("png", np.concatenate(planes))
+        title = s.type.encode()
+        lines.append(struct.pack("<QIIBBH", at + len(out), s.width, s.height, IMAGE_ENCODINGS[codec], 2, 0))
+        out += struct.pack("<QHHI", at + len(out), BLOCKS["image"], len(title), len(blob)) + title + blob
+    array = at + len(out)
+    return out + struct.pack("<QHHI", array, BLOCKS["array"], 20, len(lines)) + b"".join(lines), array
+
+
+def layered_attributes(at: int, values: dict[str, str]) -> tuple[bytes, int]:
+    """Free-text attributes in order of their keys: sizes, bytes, then the block that names both."""
+    pairs = [(k.encode(), v.encode()) for k, v in sorted(values.items())]
+    body = b"".join(k + v for k, v in pairs)
+    out = struct.pack("<QHHI", at, BLOCKS["sizes"], 6, len(pairs)) + b"".join(struct.pack("<HI", len(k), len(v)) for k, v in pairs)
+    text = at + len(out)
+    out += struct.pack("<QHI", text, BLOCKS["bytes"], len(body)) + body
+    block = at + len(out)
+    return out + struct.pack("<QHBHQQ", block, BLOCKS["attributes"], 1, 0, at, text), block
+
+
+def write_ife(tiles: DataFrame, levels: DataFrame, target: str, codec: str, look: Look = Look(), sides: tuple[Side, ...] = (), attributes: dict[str, str] | None = None) -> int:
+    """The layered tile format, for 256-pixel tiles in jpeg or avif: header, tiles, then metadata and tables, the coarsest
+    level first.
+
+    A place without a tile has the null offset and size 0. Every block begins with its own offset and tag.
     """
     shape = level_rows(levels)
-    if any(v["tile"] != 256 for v in shape) or codec not in ("jpeg", "avif"):
+    if any(v["tile"] != 256 for v in shape) or codec not in TILE_ENCODINGS:
         raise ValueError("only 256-pixel tiles in jpeg or avif")
     staging = f"{target}.parts-{uuid.uuid4().hex}"
     sized = settled(tiles.select("level", "col", "row_", "bytes")).withColumn("nbytes", F.octet_length("bytes").cast("long")).withColumn("slide_id", F.lit(0))
+    if (sized.agg(F.max("nbytes")).first()[0] or 0) > 0xFFFFFF:
+        raise ValueError("a tile is larger than 24 bits tell")
     rows = placed(sized, F.col("row_") * (1 << 20) + F.col("col"), 38, unit=1)
-    grids = {v["level"]: [struct.pack("<Q", NULL_OFFSET)] * (v["cols"] * v["rows_"]) for v in shape}
-    width = {v["level"]: v["cols"] for v in shape}
     try:
         parts = write_parts(rows, staging, 1)
-        end = 38
-        for r in rows.select("level", "col", "row_", "offset", "nbytes").toLocalIterator():
-            if r["nbytes"] > 0xFFFFFF:
-                raise ValueError("a tile is larger than 24 bits tell")
-            grids[r["level"]][r["row_"] * width[r["level"]] + r["col"]] = r["offset"].to_bytes(5, "little") + r["nbytes"].to_bytes(3, "little")
-            end = max(end, r["offset"] + r["nbytes"])
+        end = 38 + sum(n for _, n, _ in parts)
+        tail, at = b"", {"icc": NULL_BLOCK, "images": NULL_BLOCK, "attributes": NULL_BLOCK}
+        if look.icc:
+            at["icc"] = end
+            tail += struct.pack("<QHI", end, BLOCKS["profile"], len(look.icc)) + look.icc
+        if sides:
+            made, at["images"] = layered_images(end + len(tail), sides)
+            tail += made
+        if attributes:
+            made, at["attributes"] = layered_attributes(end + len(tail), attributes)
+            tail += made
+        metadata = end + len(tail)
+        tail += struct.pack("<QHHHHQQQQff", metadata, BLOCKS["metadata"], 0, 0, 0, at["attributes"], at["images"], at["icc"], NULL_BLOCK, look.mpp[0], look.magnification)
         coarse = sorted(shape, key=lambda v: -v["level"])
-        extents = b"".join(struct.pack("<IIf", v["cols"], v["rows_"], 1 / 2 ** v["level"]) for v in coarse)
-        entries = b"".join(x for v in coarse for x in grids[v["level"]])
-        table = end + 16 + len(extents) + 16 + len(entries)
-        tail = struct.pack("<QII", end, 12, len(coarse)) + extents + struct.pack("<QII", end + 16 + len(extents), 8, len(entries) // 8) + entries
-        tail += struct.pack("<QHHHQQIIHI", table, 1, 1 if codec == "jpeg" else 2, 0, end + 16 + len(extents), end, shape[0]["width"], shape[0]["height"], 0, 0)
-        head = struct.pack("<IHQHHIQQ", 0x49726973, 1, table + 44, 1, 0, 1, table, 0)
-        return put(target, framed(head.ljust(38, b"\0")[:38], parts, tail))
+        extents = end + len(tail)
+        tail += struct.pack("<QHHI", extents, BLOCKS["extents"], 12, len(coarse)) + b"".join(struct.pack("<IIf", v["cols"], v["rows_"], 1 / 2 ** v["level"]) for v in coarse)
+        where, entries = tile_places(rows, shape), []
+        for v in coarse:
+            for offset, n in zip(*where[v["level"]], strict=True):
+                entries.append((offset if n else NULL_OFFSET).to_bytes(5, "little") + n.to_bytes(3, "little"))
+        offsets = end + len(tail)
+        tail += struct.pack("<QHHI", offsets, BLOCKS["offsets"], 8, len(entries)) + b"".join(entries)
+        table = end + len(tail)
+        tail += struct.pack("<QHBBQQQII", table, BLOCKS["table"], TILE_ENCODINGS[codec], 2, NULL_BLOCK, offsets, extents, shape[0]["width"], shape[0]["height"])
+        head = struct.pack("<IHQHHIQQ", MAGIC, BLOCKS["header"], end + len(tail), 1, 0, 0, table, metadata)
+        return put(target, framed(head, parts, tail))
     finally:
         remove(staging)
 

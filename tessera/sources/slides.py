@@ -20,7 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from tessera.functions.codes import COMPRESSION_NAMES, IMAGE_TYPES, SYNTAXES
 from tessera.shipping import ship
 
-from .containers import NULL_OFFSET, parse_ghost
+from .containers import IMAGE_ENCODINGS, MAGIC, NULL_BLOCK, NULL_OFFSET, TILE_ENCODINGS, parse_ghost
 from .dicom import LONG_FORMS
 from .files import Ranged, listed
 from .tiff import read_header, unpack, walk
@@ -107,7 +107,7 @@ def open_slide(path: str) -> Slide:
             return checked(tiff_slide(path, data))
         if data[128:132] == b"DICM":
             return checked(dicom_slide(path, [path]))
-        if data[:4] == struct.pack("<I", 0x49726973):
+        if data[:4] == struct.pack("<I", MAGIC):
             return checked(layered_slide(path, data))
         if data[:4] == b"PK\3\4":
             return checked(zipped_slide(path, data))
@@ -157,7 +157,10 @@ def tiff_slide(path: str, data: Ranged) -> Slide:
     levels.sort(key=lambda v: -v.width)
     text = str(first.get(270, ""))
     ghost = parse_ghost(data[16 if head.big else 8 :][:4096].split(b"\0")[0]) if data[16 if head.big else 8 :][:28].startswith(b"GDAL_STRUCTURAL_METADATA") else {}
-    kind = "cog-wsi" if "COG_WSI_VERSION" in ghost else "svs" if text.startswith("Aperio") else "ome-tiff" if "<OME" in text else "generic-tiff"
+    bif = next((str(e[3]) for _, _, _, entries in walk(data) for e in entries if e[0] == 270 and str(e[3]).startswith("level=")), "") if b"<iScan" in bytes(first.get(700, b"") if isinstance(first.get(700, b""), bytes) else bytes(first.get(700, []))) else ""
+    if bif:
+        text = text or bif
+    kind = "bif" if bif else "cog-wsi" if "COG_WSI_VERSION" in ghost else "svs" if text.startswith("Aperio") else "ome-tiff" if "<OME" in text else "generic-tiff"
     mpp = (top.get(65085) or [0.0])[0] or decimal(text, r"MPP\s*=\s*([0-9.]+)")
     if not mpp and 282 in first and (first.get(296) or [2])[0] == 3:
         a, b = map(int, first[282][0].split("/"))
@@ -228,23 +231,47 @@ def dicom_slide(path: str, files: list[str]) -> Slide:
     return Slide(path, "dicom", tuple(replace(v, level=i) for i, v in enumerate(levels)), tuple(sides), mpp)
 
 
+def layered_blocks(path: str, data: Ranged, at: int) -> tuple[dict[str, str], tuple[Associated, ...], bytes, float, float]:
+    """Of the metadata block: attributes, side images, colour profile, pixel size and magnification."""
+    _, _, _, _, _, attributes, images, profile, _, mpp, magnification = unpack("<QHHHHQQQQff", data, at)
+    values, sides, icc = {}, [], b""
+    if profile != NULL_BLOCK:
+        icc = data[profile + 14 : profile + 14 + unpack("<I", data, profile + 10)[0]]
+    if attributes != NULL_BLOCK:
+        sizes, text = unpack("<QQ", data, attributes + 13)
+        place = text + 14
+        for i in range(unpack("<I", data, sizes + 12)[0]):
+            k, v = unpack("<HI", data, sizes + 16 + 6 * i)
+            values[data[place : place + k].decode()] = data[place + k : place + k + v].decode()
+            place += k + v
+    if images != NULL_BLOCK:
+        names = {n: c for c, n in IMAGE_ENCODINGS.items()}
+        for i in range(unpack("<I", data, images + 12)[0]):
+            block, width, height, encoding = unpack("<QIIB", data, images + 16 + 20 * i)
+            title, n = unpack("<HI", data, block + 10)
+            sides.append(Associated(data[block + 16 : block + 16 + title].decode(), width, height, names[encoding], [(path, block + 16 + title, n)], height))
+    return values, tuple(sides), icc, mpp, magnification
+
+
 def layered_slide(path: str, data: Ranged) -> Slide:
     """The layered tile format: the tile table's extents, the coarsest first, then an entry of eight bytes a tile."""
-    table = unpack("<Q", data, 14 + 12)[0]
-    _, _, encoding, _, entries, extents, width, height = unpack("<QHHHQQII", data, table)
+    table, metadata = unpack("<QQ", data, 22)
+    _, _, encoding, _, _, entries, extents, width, height = unpack("<QHBBQQQII", data, table)
     n = unpack("<I", data, extents + 12)[0]
-    shape = [unpack("<IIf", data, extents + 16 + 12 * i) for i in range(n)]
     at, levels = entries + 16, []
-    for cols, rows, scale in shape:
+    for i in range(n):
+        cols, rows, scale = unpack("<IIf", data, extents + 16 + 12 * i)
         raw = data[at : at + 8 * cols * rows]
         places = []
-        for i in range(cols * rows):
-            offset, size = int.from_bytes(raw[8 * i : 8 * i + 5], "little"), int.from_bytes(raw[8 * i + 5 : 8 * i + 8], "little")
+        for k in range(cols * rows):
+            offset, size = int.from_bytes(raw[8 * k : 8 * k + 5], "little"), int.from_bytes(raw[8 * k + 5 : 8 * k + 8], "little")
             places.append((path, 0, 0) if offset == NULL_OFFSET else (path, offset, size))
         at += 8 * cols * rows
         step = round(1 / scale)
-        levels.append(Level(0, -(-width // step), -(-height // step), 256, 256, "jpeg" if encoding == 1 else "avif", places, b"", 6))
-    return Slide(path, "ife", tuple(replace(v, level=i) for i, v in enumerate(reversed(levels))))
+        levels.append(Level(0, -(-width // step), -(-height // step), 256, 256, "jpeg" if encoding == TILE_ENCODINGS["jpeg"] else "avif", places, b"", 6))
+    values, sides, icc, mpp, magnification = layered_blocks(path, data, metadata)
+    facts = {k: values.get(f"scanner-{k}", "") for k in ("make", "model")}
+    return Slide(path, "ife", tuple(replace(v, level=i) for i, v in enumerate(reversed(levels))), sides, mpp, magnification, **facts, icc=icc)
 
 
 def zip_members(path: str, data: Ranged) -> dict[str, tuple[str, int, int]]:

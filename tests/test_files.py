@@ -83,7 +83,7 @@ def test_ife_nulls(spark, tmp_path):
     levels = spark.createDataFrame([(0, 512, 512, 256, 2, 2)], "level int, width int, height int, tile int, cols int, rows_ int")
     containers.write_ife(tiles, levels, f"file://{tmp_path}/x.iris", "jpeg")
     data = files.get(f"file://{tmp_path}/x.iris")
-    table = data.index(b"abcde") + 5 + 16 + 12 + 16
+    table = data.index(b"abcde") + 5 + 56 + 16 + 12 + 16
     entries = [struct.unpack("<Q", data[table + 8 * i : table + 8 * i + 8])[0] for i in range(4)]
     assert [(e & (1 << 40) - 1, e >> 40) for e in entries] == [(38, 3), (containers.NULL_OFFSET, 0), (containers.NULL_OFFSET, 0), (41, 2)]
     with pytest.raises(ValueError):

@@ -1,5 +1,7 @@
 """Slides as files: opened, converted, reduced, cropped, edited, and the JPEG codec against another decoder."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from tessera.codecs import headers
 from tessera.codecs import jpeg as J
 from tessera.plans import commands as Q
 from tessera.plans.convert import Refused, Request
-from tessera.sources import containers, dicom, files, slides, tiff
+from tessera.sources import bif, containers, dicom, files, slides, tiff
 
 YY, XX = np.mgrid[:150, :210]
 IMAGE = np.stack([127 + 100 * np.sin(XX / 19) * np.cos(YY / 23), 127 + 90 * np.cos(XX / 31 + YY / 17), (XX + YY) / 2], -1).clip(0, 255).astype(np.uint8)
@@ -186,6 +188,27 @@ def test_jpeg_edges():
         J.decode(codecs.encode("jpeg", noise)[:700])
 
 
+def test_layered_and_bif(spark, source, tmp_path):
+    """Both containers, from a source whose tiles must be made anew, read back with their side images and facts."""
+    p = Q.convert_file(spark, Request(to="ife", quality="92"), source[0], f"file://{tmp_path}/x.iris")
+    slide = slides.open_slide(f"file://{tmp_path}/x.iris")
+    assert (p.how, slide.format, slide.make, round(slide.mpp, 3), slide.magnification) == (p.how, "ife", "maker", 0.5, 20.0)
+    assert [a.type for a in slide.associated] == ["label", "macro", "map"]
+    assert (slides.side_pixels(slide.associated[0]) == LABEL).all()
+    assert off(pixels_of(spark, f"file://{tmp_path}/x.iris"), IMAGE) < 5
+    Q.convert_file(spark, Request(to="bif", quality="92"), source[0], f"file://{tmp_path}/x.bif")
+    slide = slides.open_slide(f"file://{tmp_path}/x.bif")
+    assert (slide.format, slide.levels[0].width, slide.levels[0].height) == ("bif", 256, 192)
+    assert off(pixels_of(spark, f"file://{tmp_path}/x.bif")[:150, :210], IMAGE) < 5
+    assert (slide.associated[0].width, slide.associated[0].height) == bif.OVERVIEW
+    entries = {(r.ifd, r.tag): r.value for r in tiff.read_entries(spark, f"file://{tmp_path}/x.bif", full=True).collect()}
+    xmp = bytes(json.loads(entries[1, 700])).decode()
+    assert xmp.count("<Frame ") == 12 and xmp.count('Direction="LEFT"') == 9 and xmp.count('Direction="UP"') == 8
+    assert json.loads(entries[1, 270]).startswith("level=0 mag=20")
+    shown = bif.overview(None, np.zeros((10, 20, 3), np.uint8))
+    assert (shown[: bif.OVERVIEW[1] // 3] == 255).all() and (shown[bif.OVERVIEW[1] // 3 :] == 0).any()
+
+
 def test_zip64(tmp_path):
     """Offsets and counts beyond 32 and 16 bits are read as they were written."""
     line = containers.zip_central(b"a", 1, 5, 1 << 33)
