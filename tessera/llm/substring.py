@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -90,8 +91,30 @@ def unique_pairs(names: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.nd
     return names[new], docs[new]
 
 
+def thin(docs: np.ndarray) -> bytes:
+    """Document ids as 32-bit distances from the least where those are enough, else as they are; the first byte tells."""
+    base = int(docs.min()) if len(docs) else 0
+    if len(docs) and int(docs.max()) - base < 1 << 32:
+        return b"\4" + base.to_bytes(8, "little", signed=True) + (docs - base).astype("<u4").tobytes()
+    return b"\x08" + docs.astype("<i8").tobytes()
+
+
+def thick(blob: bytes) -> np.ndarray:
+    if blob[0] == 4:
+        return np.frombuffer(blob, "<u4", offset=9).astype(np.int64) + int.from_bytes(blob[1:9], "little", signed=True)
+    return np.frombuffer(blob[1:], "<i8").astype(np.int64)
+
+
+@dataclass(frozen=True)
+class Passed:
+    """Ids that are passed on as they came."""
+
+    raw: bytes
+
+
 def row_batch(rows: list[tuple]) -> pa.RecordBatch:
-    """Rows (bucket, kind, three byte strings)."""
+    """Rows (bucket, kind, three byte strings); the second holds 64-bit ids and is sent thin."""
+    rows = [(bucket, kind, a, thin(np.frombuffer(b, np.int64)) if isinstance(b, bytes) else b.raw, c) for bucket, kind, a, b, c in rows]
     bucket, kind, a, b, c = zip(*rows, strict=True) if rows else ((),) * 5
     return pa.record_batch([pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), *[pa.array(x, pa.binary()) for x in (a, b, c)]], names=["bucket", "kind", "names", "docs", "more"])
 
@@ -162,11 +185,11 @@ def shared_seeds(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
         kind = table.column("kind").to_numpy()
         columns = [table.column(c).to_pylist() for c in ("names", "docs", "more")]
         for i in np.flatnonzero(kind == SETTLED):
-            rows.append((int(table.column("bucket")[int(i)].as_py()), SETTLED, columns[0][i], columns[1][i], b""))
+            rows.append((int(table.column("bucket")[int(i)].as_py()), SETTLED, columns[0][i], Passed(columns[1][i]), b""))
         at = np.flatnonzero(kind == ASKED)
         if len(at):
             names = np.frombuffer(b"".join([columns[0][i] for i in at]), U)
-            docs = np.frombuffer(b"".join([columns[1][i] for i in at]), np.int64)
+            docs = np.concatenate([thick(columns[1][i]) for i in at])
             flag = np.frombuffer(b"".join([columns[2][i] for i in at]), bool)
             order = np.argsort(names, kind="stable")
             names, docs, flag = names[order], docs[order], flag[order]
@@ -180,6 +203,35 @@ def shared_seeds(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
         yield row_batch(rows)
 
 
+#: A codec's state is costly to make, so each worker keeps one.
+ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def compact(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Rows with one string column compressed, text by text, behind its length: texts are most of what is shuffled."""
+    for batch in batches:
+        made = []
+        for text in batch.column(column):
+            raw = text.as_buffer()
+            made.append(raw.size.to_bytes(5, "little") + ZSTD.compress(raw, asbytes=True) if raw is not None and raw.size else bytes(5))
+        columns = [pa.array(made, pa.binary()) if k == column else c for k, c in enumerate(batch.columns)]
+        yield pa.record_batch(columns, names=batch.schema.names)
+
+
+def packed_pieces(texts: pa.Array, most: int = 1 << 19, rows: int = 1 << 14) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """`pieces` of compressed texts: only one piece is unpacked at a time."""
+    sizes = [int.from_bytes(x.as_buffer()[:5].to_pybytes(), "little") for x in texts]
+    lo = 0
+    while lo < len(sizes):
+        hi, total = lo + 1, sizes[lo]
+        while hi < len(sizes) and hi - lo < rows and total + sizes[hi] <= most:
+            total += sizes[hi]
+            hi += 1
+        body = b"".join([ZSTD.decompress(texts[i].as_buffer()[5:], sizes[i], asbytes=True) if sizes[i] else b"" for i in range(lo, hi)])
+        yield lo, hi, np.frombuffer(body, np.uint8), np.concatenate([[0], np.cumsum(sizes[lo:hi])])
+        lo = hi
+
+
 def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
     """Texts with the marks of their bucket: keys of names in documents in order, those documents, a batch of texts.
 
@@ -199,7 +251,7 @@ def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
             rows = batch.slice(lo, hi - lo)
             if kind[lo] == MARKS:
                 for names, docs in zip(rows.column(2), rows.column(3), strict=True):
-                    held.append((np.frombuffer(names.as_buffer(), U), np.frombuffer(docs.as_buffer(), np.int64)))
+                    held.append((np.frombuffer(names.as_buffer(), U), thick(docs.as_py())))
                 continue
             if held:
                 names, docs = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -215,13 +267,12 @@ def extended(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> It
     for asked, some, rows in marked(batches):
         known, ids = known_rows(rows.column(4))
         got = []
-        if len(asked):
-            for lo, hi, data, at in pieces(rows.column(5)):
-                text = Text(data, at, length, known[lo:hi] & among(ids[lo:hi], some))
-                docs = text.documents(ids[lo:hi])
-                where = np.flatnonzero(among(owned(text.anchors(), docs), asked))
-                if len(where):
-                    got.append((text.windows(where), text.more(where), docs[where]))
+        for lo, hi, data, at in packed_pieces(rows.column(5)) if len(asked) else ():
+            text = Text(data, at, length, known[lo:hi] & among(ids[lo:hi], some))
+            docs = text.documents(ids[lo:hi])
+            where = np.flatnonzero(among(owned(text.anchors(), docs), asked))
+            if len(where):
+                got.append((text.windows(where), text.more(where), docs[where]))
         if not got:
             continue
         one, two, docs = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -245,11 +296,11 @@ def repeats(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
         kind = table.column("kind").to_numpy()
         columns = [table.column(c).to_pylist() for c in ("names", "docs", "more")]
         for i in np.flatnonzero(kind == SETTLED):
-            rows.append((int(table.column("bucket")[int(i)].as_py()), SETTLED, columns[0][i], columns[1][i], b""))
+            rows.append((int(table.column("bucket")[int(i)].as_py()), SETTLED, columns[0][i], Passed(columns[1][i]), b""))
         at = np.flatnonzero(kind == ASKED)
         if len(at):
             one = np.frombuffer(b"".join([columns[0][i] for i in at]), U)
-            docs = np.frombuffer(b"".join([columns[1][i] for i in at]), np.int64)
+            docs = np.concatenate([thick(columns[1][i]) for i in at])
             two = np.frombuffer(b"".join([columns[2][i] for i in at]), np.uint32)
             order = np.lexsort((docs, two, one))
             one, two, docs = one[order], two[order], docs[order]
@@ -283,7 +334,7 @@ def found_in(asked: np.ndarray, some: np.ndarray, known: np.ndarray, ids: np.nda
 def spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for asked, some, rows in marked(batches):
         known, ids = known_rows(rows.column(4))
-        for lo, hi, data, at in pieces(rows.column(5)):
+        for lo, hi, data, at in packed_pieces(rows.column(5)):
             text, first, size = found_in(asked, some, known[lo:hi], ids[lo:hi], data, at, length)
             if len(first):
                 place = text.used[first]
@@ -295,7 +346,7 @@ def cut(batches: Iterator[pa.RecordBatch], length: int, layout: bool) -> Iterato
     """Every text without the words of its maximal repeats, a piece of a batch at a time."""
     for asked, some, rows in marked(batches):
         known, ids = known_rows(rows.column(4))
-        for lo, hi, data, at in pieces(rows.column(5)):
+        for lo, hi, data, at in packed_pieces(rows.column(5)):
             text, first, size = found_in(asked, some, known[lo:hi], ids[lo:hi], data, at, length)
             step = np.zeros(len(text.used) + 1, np.int64)
             np.add.at(step, first, 1)
@@ -351,6 +402,8 @@ def matched(docs: DataFrame, length: int, carried: tuple[str, ...]) -> DataFrame
     texts = docs.select(bucket.alias("bucket"), F.lit(TEXTS).alias("kind"), none.alias("names"), none.alias("docs"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carried)])
 
     def with_marks(marks: DataFrame, rows: DataFrame) -> DataFrame:
+        packed_schema = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == "text" else f.dataType) for f in rows.schema])
+        rows = rows.mapInArrow(lambda it: compact(it, 5), packed_schema)
         empty = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns[4:]]
         both = marks.select("bucket", F.lit(MARKS).alias("kind"), "names", "docs", *empty).union(rows)
         return by_bucket(both).sortWithinPartitions("bucket", "kind")

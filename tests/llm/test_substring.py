@@ -49,6 +49,23 @@ def test_buckets_are_sparks_hash(spark):
     assert [r.b for r in rows] == doc_bucket(np.array(ids), 7).tolist()
 
 
+def test_thin_ids_and_packed_texts():
+    import pyarrow as pa
+
+    from tessera.llm import substring
+
+    for ids in ([], [7], [-5, 2**31, 9], [0, 2**32], [-(2**63), 2**63 - 1], [2**62, 2**62 + 5]):
+        assert substring.thick(substring.thin(np.array(ids, np.int64))).tolist() == ids
+    texts = ["x" * (i % 13) + "é" * (i % 5) for i in range(60)] + [None, "", "a b " * 5000]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["n", "text"])
+    (out,) = substring.compact(iter([batch]), 1)
+    got = []
+    for lo, hi, data, at in substring.packed_pieces(out.column(1), most=40):
+        assert hi - lo == 1 or at[-1] <= 40
+        got += [data[a:b].tobytes().decode() for a, b in zip(at, at[1:])]
+    assert got == [t or "" for t in texts] and out.column(0).to_pylist() == list(range(len(texts)))
+
+
 def test_ids_in_steps_of_the_bucket_count(spark):
     """Ids that are all equal modulo the number of buckets, in small batches and with many rows without an id."""
     passage = " ".join(f"p{i}" for i in range(30))
