@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.codecs import health
+from tessera.codecs import encode, health
 from tessera.fixtures import Slides
+from tessera.plans import commands
 from tessera.plans import convert as C
 from tessera.plans import table as planner
 from tessera.session import scratch
@@ -168,12 +169,64 @@ def slide_levels_roundtrip(s: Slides) -> DataFrame:
     found = []
     for kind in (*KINDS, "dicom"):
         path = written(s, kind)
-        form = s.spark.read.format("slide").option("table", "slides").load(path).select("format")
+        form = s.spark.read.format("slide").option("table", "slides").load(path).first()["format"]
         levels = s.spark.read.format("slide").option("table", "levels").load(path)
-        found.append(levels.crossJoin(F.broadcast(form)).select(F.lit(kind).alias("kind"), "format", "level", F.col("width").cast("bigint").alias("width"), F.col("height").cast("bigint").alias("height"), "compression"))
+        found.append(levels.select(F.lit(kind).alias("kind"), F.lit(form).alias("format"), "level", F.col("width").cast("bigint").alias("width"), F.col("height").cast("bigint").alias("height"), "compression"))
     return reduce(DataFrame.unionByName, found)
 
 
+#: A region as a label: the hash of its bytes as it is, and upside down.
+PATCH = "SELECT {side} AS type, sha256(unhex(string_agg(printf('%02x%02x%02x', r, g, b), '' ORDER BY {order}))) AS sha256 FROM v_pixels WHERE x < 30 AND y < 20"
+SIDE_KINDS = ("tiff", "svs", "ome-tiff", "cog-wsi", "dicom")
+
+
+def with_sides(s: Slides, kind: str) -> str:
+    """The image as a slide with a label in strips of 8 rows and a macro of one strip; where it is."""
+    pixels, _, _ = whole_image(s)
+    patch = commands.region(pixels, 0, 0, 30, 20)
+    strips = tuple(encode("lzw", patch[y : y + 8]) for y in (0, 8, 16))
+    sides = (containers.Side("label", 30, 20, "lzw", strips, 8), containers.Side("macro", 30, 20, "none", (patch[::-1].tobytes(),), 20))
+    tiles, p, levels = planned(s, kind, "none")
+    folder = scratch(s.spark, "sides")
+    if kind == "dicom":
+        dicom.write_series(tiles, levels, f"{folder}/{kind}", "none", mpp=0.5, sides=sides)
+        return f"{folder}/{kind}"
+    text = "Aperio Image" if kind == "svs" else "<OME/>" if kind == "ome-tiff" else ""
+    containers.write_tiff(tiles, levels, f"{folder}/{kind}.tiff", "none", kind=kind, mpp=0.5, description=text, sides=sides)
+    return f"{folder}/{kind}.tiff"
+
+
+def side_hashes(s: Slides, kind: str, path: str) -> list[tuple[str, str, str]]:
+    import hashlib
+
+    return [(kind, a.type, hashlib.sha256(slides.side_pixels(a).tobytes()).hexdigest()) for a in slides.open_slide(path).associated]
+
+
+SIDES_OUT = "kind string, type string, sha256 string"
+
+
+@query(f"""
+SELECT k.kind, p.* FROM ({PATCH.format(side="'label'", order="y, x")} UNION ALL {PATCH.format(side="'macro'", order="y DESC, x")}) p JOIN (VALUES ('tiff'), ('svs'), ('ome-tiff'), ('cog-wsi'), ('dicom')) k(kind) ON true""")
+def side_images_roundtrip(s: Slides) -> DataFrame:
+    """A slide's side images, written with five kinds of slides and read back from the files."""
+    return s.spark.createDataFrame([r for kind in SIDE_KINDS for r in side_hashes(s, kind, with_sides(s, kind))], SIDES_OUT)
+
+
+@query(f"""
+SELECT k.kind, p.* FROM ({PATCH.format(side="'label'", order="y DESC, x")}) p JOIN (VALUES ('tiff'), ('svs'), ('ome-tiff'), ('cog-wsi')) k(kind) ON true""")
+def side_images_edited(s: Slides) -> DataFrame:
+    """The same files with the macro removed and the label replaced by one that is upside down."""
+    pixels, _, _ = whole_image(s)
+    patch = commands.region(pixels, 0, 0, 30, 20)
+    found = []
+    for kind in SIDE_KINDS[:-1]:
+        path = with_sides(s, kind)
+        commands.edit_associated(s.spark, path, f"{path}.removed", "macro")
+        commands.edit_associated(s.spark, f"{path}.removed", f"{path}.replaced", "label", patch[::-1].copy())
+        found += side_hashes(s, kind, f"{path}.replaced")
+    return s.spark.createDataFrame(found, SIDES_OUT)
+
+
 @query("""
 WITH t AS (SELECT s.*, CASE WHEN slide_id % 2 = 1 THEN 2 ELSE 1 END AS factor FROM v_slides s),
      o AS (SELECT slide_id, bool_and(kw = kh AND kw >= 0 AND abs(ceil(w0 / pow(2, kw)) - width) <= 2 AND abs(ceil(h0 / pow(2, kw)) - height) <= 2) AND count(DISTINCT kw) = count(*) AS clean, list(kw) AS octaves FROM v_octaves GROUP BY slide_id),

@@ -99,6 +99,13 @@ def pixel_hash(s: Slides) -> DataFrame:
     return P.tile_hashes(s["v_pixels"], 16)
 
 
+@query("""
+SELECT slide_id, CAST(3 * count(*) AS BIGINT) AS nbytes, sha256(unhex(string_agg(printf('%02x%02x%02x', r, g, b), '' ORDER BY y, x))) AS sha256 FROM v_rasters GROUP BY slide_id""")
+def raster_hash(s: Slides) -> DataFrame:
+    """One hash of each raster's bytes in row order."""
+    return P.raster_hashes(s["v_rasters"], KEYS)
+
+
 @query(f"""
 WITH {IMAGE}, cut AS (SELECT slide_id, x - 4 AS x, y - 6 AS y, r, g, b, least(55, width - 4) AS width, least(57, height - 6) AS height FROM img WHERE x BETWEEN 4 AND 58 AND y BETWEEN 6 AND 62),
 half AS ({HALF.format(t="cut")}) """ + HASH.format(k="slide_id, ", t=16, src="half"))

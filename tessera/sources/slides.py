@@ -385,6 +385,23 @@ def read_pixels(spark: SparkSession, slide: Slide, level: int = 0, reduce: int =
     return read_tiles(spark, slide, [level]).mapInArrow(run, "x long, y long, r int, g int, b int")
 
 
+def transcoded_tiles(spark: SparkSession, slide: Slide, codec: str, knobs: dict | None = None) -> DataFrame:
+    """Every level's tiles in another codec, tile by tile, when they are read: (level, col, row_, bytes)."""
+    from tessera.codecs import decode, encode
+
+    of = {v.level: (v.codec, v.tile_w, v.tile_h, v.tables or None) for v in slide.levels}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for level, data in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
+                name, w, h, tables = of[level]
+                made.append(encode(codec, decode(name, data.as_buffer().to_pybytes(), w, h, tables), knobs))
+            yield pa.record_batch([*batch.columns[:3], pa.array(made, pa.binary())], names=["level", "col", "row_", "bytes"])
+
+    return read_tiles(spark, slide).mapInArrow(run, "level int, col int, row_ int, bytes binary")
+
+
 def side_bytes(side: Associated) -> tuple[bytes, ...]:
     """A side image's strips as they are in the file."""
     out = []

@@ -188,6 +188,12 @@ def test_jpeg_edges():
         J.decode(codecs.encode("jpeg", noise)[:700])
 
 
+def test_lazy_transcode(spark, source):
+    slide = slides.open_slide(source[0])
+    found = {(r.col, r.row_): codecs.png_decode(bytes(r.bytes)) for r in slides.transcoded_tiles(spark, slide, "png").collect()}
+    assert all((found[k] == J.decode(b)).all() for k, b in source[1].items()) and len(found) == len(source[1])
+
+
 def test_layered_and_bif(spark, source, tmp_path):
     """Both containers, from a source whose tiles must be made anew, read back with their side images and facts."""
     p = Q.convert_file(spark, Request(to="ife", quality="92"), source[0], f"file://{tmp_path}/x.iris")
