@@ -75,6 +75,18 @@ def order_inverse(s: Slides) -> DataFrame:
     return rows.select("slide_id", "level", "col", "row_", "i", col.cast("bigint").alias("back_col"), row.alias("back_row"))
 
 
+@query("""
+SELECT slide_id, level, col, row_, col AS hilbert_col, row_ AS hilbert_row, col AS morton_col, row_ AS morton_row, col AS serpentine_col, row_ AS serpentine_row FROM v_tiles""")
+def curves_inverse(s: Slides) -> DataFrame:
+    """Cells of grids that are no powers of two, three columns wider than high, by their places on three curves."""
+    cols, rows = F.col("grid") + 3, F.col("grid")
+    at = {name: C.order_key(name)(F.col("col"), F.col("row_"), cols, rows).alias(name) for name in ("hilbert", "morton", "serpentine")}
+    found = s["v_tiles"].select("slide_id", "level", "col", "row_", "grid", *at.values())
+    cells = {"hilbert": C.hilbert_cell(F.col("hilbert"), cols, rows), "morton": C.morton_cell(F.col("morton")), "serpentine": C.serpentine_cell(F.col("serpentine"), cols, rows)}
+    back = [c.cast("bigint").alias(f"{name}_{part}") for name, cell in cells.items() for part, c in zip(("col", "row"), cell, strict=True)]
+    return found.select("slide_id", "level", "col", "row_", *back)
+
+
 @query(f"""
 SELECT slide_id, level, col, row_, nbytes, row_number() OVER (PARTITION BY slide_id, level ORDER BY key) - 1 AS rank,
        CAST(4096 + sum(a) OVER (PARTITION BY slide_id ORDER BY level DESC, key ROWS UNBOUNDED PRECEDING) - a AS BIGINT) AS "offset"

@@ -194,3 +194,25 @@ FROM (SELECT slide_id, 1 + slide_id % 4 AS h, 1 + CAST(floor(slide_id / 4) AS BI
 def chroma_name(s: Slides) -> DataFrame:
     i = F.col("slide_id")
     return s["v_slides"].select("slide_id", J.chroma_name(i % 4 + 1, G.whole_div(i, 4) % 2 + 1, F.when(i % 9 == 0, 2).otherwise(1)).alias("chroma"))
+
+
+@query("""
+SELECT slide_id, 'a JPEG/RGB Q=' || (50 + slide_id % 50) || ';b Q=70' AS quality, CASE WHEN compression = 'jpeg2000' THEN 'a J2K/YUV16 Q=70;b Q=70' ELSE 'a JPEG/RGB Q=70;b Q=70' END AS codec FROM v_slides""")
+def description_tokens(s: Slides) -> DataFrame:
+    """The first quality and the codec of a geometry line swapped."""
+    line = F.when(F.col("slide_id") % 2 == 0, "a JPEG/RGB Q=70;b Q=70").otherwise("a J2K/YUV16 Q=70;b Q=70")
+    swapped = X.codec_swapped(line, F.col("compression"))
+    quality = X.quality_swapped(X.codec_swapped(line, F.lit("jpeg")), 50 + F.col("slide_id") % 50)
+    return s["v_slides"].select("slide_id", quality.alias("quality"), swapped.alias("codec"))
+
+
+@query("""
+SELECT rect_id, CASE WHEN rect_id % 9 > 0 THEN w END AS w, CASE WHEN rect_id % 9 > 0 THEN h END AS h,
+       CASE WHEN rect_id % 7 > 0 THEN rect_id % 256 END AS r, CASE WHEN rect_id % 7 > 0 THEN w % 256 END AS g, CASE WHEN rect_id % 7 > 0 THEN h % 256 END AS b FROM v_rects""")
+def sizes_and_colours(s: Slides) -> DataFrame:
+    """Sizes as WxH and colours as #RRGGBB, read from their texts; some are broken."""
+    size = F.when(F.col("rect_id") % 9 > 0, F.format_string("%dX%d", "w", "h")).when(F.col("rect_id") % 2 == 0, "12x").otherwise("ax3")
+    hexed = F.format_string("%02x%02X%02x", F.col("rect_id") % 256, F.col("w") % 256, F.col("h") % 256)
+    colour = F.when(F.col("rect_id") % 7 == 0, F.substring(hexed, 1, 5)).when(F.col("rect_id") % 2 == 0, F.concat(F.lit("#"), hexed)).otherwise(hexed)
+    sides, rgb = X.size_numbers(size), X.colour_numbers(colour)
+    return s["v_rects"].select("rect_id", *[F.get(sides, F.lit(k)).alias(n) for k, n in enumerate(("w", "h"))], *[F.get(rgb, F.lit(k)).alias(n) for k, n in enumerate(("r", "g", "b"))])

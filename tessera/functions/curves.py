@@ -31,6 +31,37 @@ def morton(col: Column, row: Column, cols: Column, rows: Column) -> Column:
     return spread_bits(col).bitwiseOR(F.shiftleft(spread_bits(row), 1))
 
 
+def gathered_bits(v: Column) -> Column:
+    """The bits at the even places of v, side by side: `spread_bits` undone."""
+    v = big(v).bitwiseAND(F.lit(0x5555555555555555).cast("bigint"))
+    for shift, mask in ((1, 0x3333333333333333), (2, 0x0F0F0F0F0F0F0F0F), (4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, 0x00000000FFFFFFFF)):
+        v = v.bitwiseOR(F.shiftright(v, shift)).bitwiseAND(F.lit(mask).cast("bigint"))
+    return v
+
+
+def morton_cell(index: Column) -> tuple[Column, Column]:
+    return gathered_bits(index), gathered_bits(F.shiftright(big(index), 1))
+
+
+def hilbert_cell(index: Column, cols: Column, rows: Column) -> tuple[Column, Column]:
+    """The cell at a distance along the curve: a fold over pairs of bits from the lowest."""
+    side = next_power2(F.greatest(cols, rows))
+    steps = F.sequence(F.lit(0), F.greatest(F.lit(0), F.log2(side.cast("double")).cast("int") - 1))
+    start = F.struct(F.lit(0).cast("bigint").alias("x"), F.lit(0).cast("bigint").alias("y"), big(index).alias("t"))
+
+    def step(a: Column, k: Column) -> Column:
+        s = F.pow(F.lit(2.0), k).cast("bigint")
+        rx = F.pmod(F.floor(a["t"] / 2), F.lit(2)).cast("bigint")
+        ry = F.pmod(a["t"] + rx, F.lit(2)).cast("bigint")
+        flip = (ry == 0) & (rx == 1)
+        fx, fy = F.when(flip, s - 1 - a["x"]).otherwise(a["x"]), F.when(flip, s - 1 - a["y"]).otherwise(a["y"])
+        x, y = F.when(ry == 0, fy).otherwise(fx), F.when(ry == 0, fx).otherwise(fy)
+        return F.struct((x + s * rx).cast("bigint").alias("x"), (y + s * ry).cast("bigint").alias("y"), F.floor(a["t"] / 4).cast("bigint").alias("t"))
+
+    cell = F.aggregate(steps, start, step, lambda a: F.struct(a["x"].alias("x"), a["y"].alias("y")))
+    return cell["x"], cell["y"]
+
+
 def hilbert(col: Column, row: Column, cols: Column, rows: Column) -> Column:
     """Distance along the Hilbert curve of the least power of two that holds the grid: a fold over the bits from the top."""
     side = next_power2(F.greatest(cols, rows))

@@ -77,6 +77,31 @@ def jpeg_quality_token(geometry: Column) -> Column:
     return F.nullif(F.regexp_extract(geometry, r"^(?:(?!Q=).)*Q=([0-9]+)", 1), F.lit("")).try_cast("bigint")
 
 
+def quality_swapped(geometry: Column, quality: Column) -> Column:
+    """The digits behind the first Q= replaced; a text without any as it is."""
+    old = F.regexp_extract(geometry, r"^((?:(?!Q=[0-9]).)*Q=)[0-9]+(.*)$", 1)
+    rest = F.regexp_extract(geometry, r"^((?:(?!Q=[0-9]).)*Q=)[0-9]+(.*)$", 2)
+    return F.when(old == "", geometry).otherwise(F.concat(old, quality.cast("string"), rest))
+
+
+def codec_swapped(geometry: Column, codec: Column) -> Column:
+    """The first descriptor of a codec in a geometry line replaced by that of another codec."""
+    parts = F.split(geometry, r"JPEG/RGB|J2K/YUV16", 2)
+    return F.when(F.size(parts) < 2, geometry).otherwise(F.concat(F.get(parts, F.lit(0)), codec_descriptor(codec), F.get(parts, F.lit(1))))
+
+
+def size_numbers(text: Column) -> Column:
+    """WxH as an array of two positive integers, null for anything else."""
+    parts = F.transform(F.split(F.lower(text), "x"), lambda p: F.trim(p).try_cast("bigint"))
+    return F.when((F.size(parts) == 2) & F.coalesce(F.get(parts, F.lit(0)) > 0, F.lit(False)) & F.coalesce(F.get(parts, F.lit(1)) > 0, F.lit(False)), parts)
+
+
+def colour_numbers(text: Column) -> Column:
+    """#RRGGBB, the mark optional, as an array of three numbers from 0 to 255, null for anything else."""
+    digits = F.regexp_extract(F.trim(text), r"^#?([0-9A-Fa-f]{6})$", 1)
+    return F.when(digits != "", F.array(*[F.conv(F.substring(digits, k, 2), 16, 10).cast("bigint") for k in (1, 3, 5)]))
+
+
 def xml_escaped(text: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
         text = F.replace(text, F.lit(a), F.lit(b))
