@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.geometry import align_up
+from tessera.functions.geometry import align_up, big
+
+
+def by_rows(col: Column, row: Column) -> Column:
+    """The key of tiles row by row, for grids of any size: 64 bits, the column in the lower 32."""
+    return F.shiftleft(big(row), 32) + col
 
 
 def placed(tiles: DataFrame, key: Column, start: int, unit: int = 16, bits: int = 12) -> DataFrame:

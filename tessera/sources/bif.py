@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.layout import placed
+from tessera.operators.layout import by_rows, placed
 from tessera.session import settled
 
 from .containers import framed, level_rows, tile_places, write_parts
@@ -119,7 +119,7 @@ def write_bif(tiles: DataFrame, levels: DataFrame, target: str, picture: np.ndar
     for v in shape:
         if counts.get(v["level"], 0) != v["cols"] * v["rows_"]:
             raise ValueError(f"level {v['level']} has {counts.get(v['level'], 0)} of {v['cols'] * v['rows_']} tiles")
-    rows = placed(sized, F.col("row_") * (1 << 20) + F.col("col"), end + len(strip), unit=1)
+    rows = placed(sized, by_rows(F.col("col"), F.col("row_")), end + len(strip), unit=1)
     try:
         parts = write_parts(rows, staging, 1)
         out, places, _ = directories(tile_places(rows, shape), end)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.codes import COMPRESSION_TAGS
 from tessera.functions.curves import order_key
-from tessera.operators.layout import placed
+from tessera.operators.layout import by_rows, placed
 from tessera.session import settled
 from tessera.shipping import ship
 
@@ -326,7 +326,7 @@ def write_szi(tiles: DataFrame, target: str, name: str, tile: int, overlap: int,
     fixed = [(f"{name}/{name}.dzi", manifest_xml(tile, overlap, kind, width, height).encode()), (f"{name}/scan-properties.xml", properties.encode())]
     head = b"".join(zip_local(n.encode(), data) for n, data in fixed)
     made = settled(tiles.select(F.col("level").cast("int"), F.col("col").cast("int"), F.col("row_").cast("int"), "bytes").mapInArrow(lambda it: members(it, prefix, kind), "level int, col int, row_ int, bytes binary, crc long, size long"))
-    rows = placed(made.withColumn("nbytes", F.octet_length("bytes").cast("long")).withColumn("slide_id", F.lit(0)), F.col("row_") * (1 << 20) + F.col("col"), len(head), unit=1)
+    rows = placed(made.withColumn("nbytes", F.octet_length("bytes").cast("long")).withColumn("slide_id", F.lit(0)), by_rows(F.col("col"), F.col("row_")), len(head), unit=1)
     staging = f"{target}.parts-{uuid.uuid4().hex}"
     try:
         parts = write_parts(rows, staging, 1)
@@ -398,7 +398,7 @@ def write_ife(tiles: DataFrame, levels: DataFrame, target: str, codec: str, look
     sized = settled(tiles.select("level", "col", "row_", "bytes")).withColumn("nbytes", F.octet_length("bytes").cast("long")).withColumn("slide_id", F.lit(0))
     if (sized.agg(F.max("nbytes")).first()[0] or 0) > 0xFFFFFF:
         raise ValueError("a tile is larger than 24 bits tell")
-    rows = placed(sized, F.col("row_") * (1 << 20) + F.col("col"), 38, unit=1)
+    rows = placed(sized, by_rows(F.col("col"), F.col("row_")), 38, unit=1)
     try:
         parts = write_parts(rows, staging, 1)
         end = 38 + sum(n for _, n, _ in parts)

@@ -262,3 +262,19 @@ def test_pyramid_in_steps(spark):
     found = {(p.slide_id, p.level, p.x, p.y): (p.r, p.g, p.b) for p in P.pyramid(df, 5, ("slide_id",), depth=2).collect()}
     assert found == want
     assert P.box_halve(df.withColumn("w", F.lit(23)), F.col("w"), F.lit(9), keys=("slide_id",)).where("slide_id = 0").count() == 12 * 5
+
+
+@pytest.mark.parametrize("to", ["szi", "ife", "bif"])
+def test_more_than_2048_rows_of_tiles(spark, tmp_path, to):
+    """Keys of tiles by rows are 64 bits wide: 2048 * 2 ** 20 is beyond 32."""
+    n, tile, target = 2050, 256, f"file://{tmp_path}/x.{to}"
+    tiles = spark.createDataFrame([(12 if to == "szi" else 0, 0, r, b"%d" % r) for r in range(n)], "level int, col int, row_ int, bytes binary")
+    levels = spark.createDataFrame([(0, tile, n * tile, tile, 1, n)], "level int, width int, height int, tile int, cols int, rows_ int")
+    if to == "szi":
+        containers.write_szi(tiles, target, "x", 1, 0, "png", 1, n, "<image/>")
+    elif to == "ife":
+        containers.write_ife(tiles, levels, target, "jpeg")
+    else:
+        bif.write_bif(tiles, levels, target, np.zeros((1, 1, 3), np.uint8))
+    found = slides.read_tiles(spark, slides.open_slide(target), [0]).collect()
+    assert sorted((r.col, r.row_, bytes(r.bytes)) for r in found) == sorted((0, r, b"%d" % r) for r in range(n))
