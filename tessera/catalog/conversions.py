@@ -250,8 +250,11 @@ STREAMED = f"WITH img AS (SELECT *, 64 AS width, 1000000000 AS height FROM v_pix
 
 @query(STREAMED)
 def strip_stream_pyramid(s: Slides) -> DataFrame:
-    """Two levels of the raster from a stream of its rows: the table's files are read as they come, all that are there."""
-    height = (s["embeddings"].agg(F.max("vec_id")).first()[0] or 0) + 1
+    """Two levels of the raster from a stream of its rows: the table's files are read as they come, all that are there.
+
+    The raster has no known end, so below the last row, and where a row is missing, it is black."""
+    there = F.size("embedding") > 0
+    due = s["embeddings"].where(there).groupBy(F.floor(F.col("vec_id") / 4).cast("long").alias("band")).agg(F.count(F.lit(1)).alias("due"))
     schema = T.StructType([f for f in s["embeddings"].schema.fields])
     stream = s.spark.readStream.schema(schema).parquet(f"{s.sf_dir}/embeddings.parque[t]")
 
@@ -259,8 +262,8 @@ def strip_stream_pyramid(s: Slides) -> DataFrame:
         return F.transform("embedding", lambda v: F.pmod(F.floor(v.cast("double") * k), F.lit(256)).cast("int"))
 
     channels = [channel(k) for k in (1000, 3000, 7000)]
-    rows = stream.select(F.col("vec_id").alias("y"), *[c.alias(n) for c, n in zip(channels, "rgb", strict=True)])
+    rows = stream.where(there).select(F.col("vec_id").alias("y"), *[c.alias(n) for c, n in zip(channels, "rgb", strict=True)])
     folder = scratch(s.spark, "stream")
-    run = pyramid_stream(rows, height, 2).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run = pyramid_stream(rows, None, 2, due).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return s.spark.read.schema("band long, level int, x long, y long, r int, g int, b int").parquet(f"{folder}/out")

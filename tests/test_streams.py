@@ -1,7 +1,11 @@
 """Streams: bounded reordering, gaps, and flows that are drained, stopped or fail."""
 
+import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tessera import catalog
 from tessera.streaming import strips
 from tessera.streaming.flow import Cancelled, Flow
 
@@ -53,3 +57,33 @@ def test_missing(spark):
     tiles = spark.createDataFrame([(1, 0), (1, 1), (1, 3), (2, 0), (2, 1), (3, 0), (3, 0)], "slide_id long, idx long")
     expected = spark.createDataFrame([(1, 4), (2, 2), (3, 2), (4, 1)], "slide_id long, n long")
     assert sorted(tuple(r) for r in strips.missing(tiles, expected).collect()) == [(1, 4, 3, 2), (3, 2, 1, 1), (4, 1, 0, 0)]
+
+
+@pytest.mark.parametrize("ids", [range(5), range(6), range(7), [0, 2, 3, 9, 10, 16]])
+def test_strips_equal_sql_at_any_end(spark, tmp_path, ids):
+    """Tables whose last band is not full, or in which rows are missing or have no vector."""
+    rows = [(i, [(64 * i + k) / 1000 for k in range(64)], 0) for i in ids] + [(8, None, 0)] * (9 in ids)
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = catalog.queries()["strip_stream_pyramid"](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    wanted = db.execute(f"select {', '.join(found.columns)} from ({catalog.oracle_sql()['strip_stream_pyramid']}) q").fetchall()
+    assert sorted(tuple(r) for r in found.collect()) == sorted(wanted) and wanted
+
+
+def test_strips_over_many_batches(spark, tmp_path):
+    """Rows of 5 pixels, one to a batch, with a known end and without one: the edges are repeated, or black."""
+    image = np.random.default_rng(5).integers(0, 256, (7, 5, 3))
+    for y in (3, 0, 6, 1, 5, 2, 4):
+        spark.createDataFrame([(y, *image[y].T.tolist())], "y long, r array<int>, g array<int>, b array<int>").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    table = spark.read.parquet(f"{tmp_path}/in")
+    due = table.groupBy(F.floor(F.col("y") / 4).cast("long").alias("band")).agg(F.count(F.lit(1)).alias("due"))
+    for height, mode in ((7, "edge"), (None, "constant")):
+        rows = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        made = strips.pyramid_stream(rows, height, 2, None if height else due)
+        made.writeStream.format("parquet").option("path", f"{tmp_path}/{mode}").option("checkpointLocation", f"{tmp_path}/{mode}-state").trigger(availableNow=True).start().awaitTermination()
+        wanted, raster = [], image
+        for level in (1, 2):
+            raster = strips.halved(np.pad(raster, ((0, raster.shape[0] % 2), (0, raster.shape[1] % 2), (0, 0)), mode=mode))
+            wanted += [(y * 2**level // 4, level, x, y, *raster[y, x].tolist()) for y, x in np.ndindex(raster.shape[:2])]
+        assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/{mode}").collect()) == sorted(wanted)
